@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import IDENTITY, NOT_SPACE, Words, byte_table, flat, labelled_sample
+from tesserae.llm.common import IDENTITY, NOT_SPACE, SLICE_BYTES, Words, byte_table, flat, labelled_sample
 from tesserae.llm.toxicity import scored, sigmoid
 
 PASSAGE = 100
@@ -43,8 +43,8 @@ class Settings:
     batch: int = 128
     seed: int = 7
     #: Bounds of the fitting sample: labelled rows, and characters of each.
-    rows: int = 8000
-    max_chars: int = 20_000
+    rows: int = 6000
+    max_chars: int = 10_000
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +99,14 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, owner
 
 
+def passages_in_steps(column: pa.Array, step: int = SLICE_BYTES // 4) -> tuple[np.ndarray, np.ndarray]:
+    """``passages`` of many texts, about ``step`` bytes at a time: what is held at once is their measures alone."""
+    sizes = np.cumsum([len(t) for t in column.to_pylist()]) // step if len(column) else np.zeros(0)
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(column)]
+    found = [passages(column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([o + a for (_, o), a in zip(found, cuts, strict=False)])
+
+
 def attend(x: np.ndarray, owner: np.ndarray, n: int, p: dict) -> tuple:
     h = np.tanh(x @ p["We"] + p["be"])
     v, u = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
@@ -114,7 +122,7 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
     """The trained parameters (None without both labels), by Adam on the log loss."""
     if len({y for _, y in rows}) < 2:
         return None
-    x, owner = passages(pa.array([t for t, _ in rows], pa.string()))
+    x, owner = passages_in_steps(pa.array([t for t, _ in rows], pa.string()))
     y = np.array([y for _, y in rows], float)
     rng = np.random.default_rng(s.seed)
     mean, scale = x.mean(0), x.std(0) + 0.02
@@ -153,7 +161,9 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
 def score_texts(column: pa.Array, model: dict | None) -> np.ndarray:
     if model is None:
         return np.full(len(column), 0.5)
-    x, owner = passages(column)
+    if not len(column):
+        return np.zeros(0)
+    x, owner = passages_in_steps(column, SLICE_BYTES)
     return attend((x - model["mean"]) / model["scale"], owner, len(column), model)[-1]
 
 
@@ -172,17 +182,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = No
     """The documents that score ``threshold`` or more, all columns as they were. Python sees only texts."""
     from pyspark.sql import functions as F
 
-    from tesserae.llm.common import SLICE_BYTES
-
     model = fitted(docs, labels, settings)
 
     @F.pandas_udf("double")
     def quality(texts):
         import pandas as pd
 
-        column = pa.array(texts.fillna(""), pa.string())
-        sizes = np.cumsum([len(t) for t in column.to_pylist()]) // SLICE_BYTES if len(column) else np.zeros(0)
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(column)]
-        return pd.Series(np.concatenate([score_texts(column.slice(a, b - a), model) for a, b in zip(cuts, cuts[1:], strict=False) if b > a] or [np.zeros(0)]))
+        return pd.Series(score_texts(pa.array(texts.fillna(""), pa.string()), model))
 
     return docs.withColumn("__score", quality(F.col("text").cast("string"))).where(F.col("__score") >= threshold).drop("__score")
