@@ -39,10 +39,10 @@ class Settings:
     batch: int = 192
     rate: float = 0.5
     seed: int = 11
-    #: Bounds of the fitting sample: documents of each language, languages, and characters of each document.
-    rows: int = 1000
+    #: Bounds of the fitting sample: documents (dealt evenly over the languages), languages, characters of each document.
+    rows: int = 2400
     languages: int = 200
-    max_chars: int = 4000
+    max_chars: int = 2000
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -133,23 +133,27 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
     if not names:
         return None
     size = len(names)
-    words = Words(*flat(lowered(pa.array([t for t, _ in rows], pa.string()))), LETTERLIKE)
-    owner, bucket = word_features(words, s.bits)
-    order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
-    at = np.searchsorted(owner, np.arange(len(words) + 1))
+    text_of, sizes, features = [], [], []
+    for begin in range(0, len(rows), 64):
+        words = Words(*flat(lowered(pa.array([t for t, _ in rows[begin : begin + 64]], pa.string()))), LETTERLIKE)
+        owner, bucket_ = word_features(words, s.bits)
+        features.append(bucket_[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(words)))
+        text_of.append(words.text + begin)
+    bucket, word_text = np.concatenate(features), np.concatenate(text_of)
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
     label_of = np.array([names.index(y) for _, y in rows])
     # windows of words of one document, dealt by language
-    n_words = len(words)
+    n_words = len(word_text)
     weights, transition, begin = np.zeros((1 << s.bits, size)), np.zeros((size, size)), np.zeros(size)
     if size == 1 or not n_words:
         return {"names": names, "weights": weights, "transition": transition, "begin": begin}
     firsts = np.arange(0, n_words - s.window + 1, s.window // 2)
-    firsts = firsts[words.text[firsts] == words.text[firsts + s.window - 1]] if n_words >= s.window else firsts[:0]
+    firsts = firsts[word_text[firsts] == word_text[firsts + s.window - 1]] if n_words >= s.window else firsts[:0]
     if not len(firsts):  # only tiny texts: every word is a window's start
         firsts = np.arange(max(1, n_words - s.window + 1))
     window = min(s.window, n_words)
-    language = label_of[words.text[firsts]]
+    language = label_of[word_text[firsts]]
     by_language = [firsts[language == k] for k in range(size)]
     present = [k for k in range(size) if len(by_language[k])]
     rng = np.random.default_rng(s.seed)
@@ -160,7 +164,7 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
         pick[:, 1] = np.where(rng.random(s.batch) < 0.5, pick[:, 0], pick[:, 1])
         begin_at = np.array([[by_language[k][rng.integers(len(by_language[k]))] for k in pair] for pair in pick])
         chain = (begin_at[:, :, None] + np.arange(window)).reshape(s.batch, -1)
-        gold = label_of[words.text[chain]]
+        gold = label_of[word_text[chain]]
         flat_chain = chain.ravel()
         counts = at[flat_chain + 1] - at[flat_chain]
         rows_at = np.repeat(at[flat_chain] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -221,24 +225,24 @@ def label_texts(column: pa.Array, model: dict | None, bits: int) -> tuple[list[s
 
 
 def training_rows(docs: DataFrame, s: Settings, buckets: int, held: int) -> list[tuple[str, str]]:
-    """Up to ``rows`` texts of each of the ``languages`` most frequent languages, chosen by hash among rows not held out.
+    """Up to ``rows`` texts, evenly of the ``languages`` most frequent languages, chosen by hash among rows not held out.
 
-    For each language the rows with the least hashes are found by a bounded, pre-aggregated top list (min_by of n), so a
-    language with a third of all rows never meets in one task.
+    Rows are thinned by hash where they are read, so a language with a third of all rows never meets in one task.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", buckets) != held))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
     if not counts:
         return []
+    each = max(1, s.rows // len(counts))
     # each language is thinned by hash to about twice its share, then cut exactly on the driver
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * s.rows / r["count"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * each / r["count"])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     cut = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {s.max_chars})) as int), {s.max_chars})")
     found = usable.where(draw < share[F.col("lang")]).select("lang", "doc_id", F.when(F.length("text") <= s.max_chars, F.col("text")).otherwise(cut).alias("text"))
     by: dict[str, list] = {}
     for lang, doc_id, text in zip(*found.toArrow().to_pydict().values(), strict=True):
         by.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), doc_id, text))
-    return [(text, lang) for lang in sorted(by) for _, _, text in sorted(by[lang])[: s.rows]]
+    return [(text, lang) for lang in sorted(by) for _, _, text in sorted(by[lang])[:each]]
 
 
 def identify(docs: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2) -> DataFrame:

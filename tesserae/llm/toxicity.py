@@ -34,7 +34,7 @@ class Settings:
     l2: float = 0.1
     epochs: int = 5
     #: Bounds of the fitting sample: labelled rows, and characters of each.
-    rows: int = 10_000
+    rows: int = 8000
     max_chars: int = 20_000
 
 
