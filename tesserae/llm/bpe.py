@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tesserae.llm.bpe_automaton import automaton
-from tesserae.llm.common import slices
+from tesserae.llm.common import inputs, slices
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = pa.array([machine.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
+    return inputs(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -58,4 +58,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return inputs(docs).mapInArrow(run, schema)

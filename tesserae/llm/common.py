@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and about 8 MB in this session, so that Python workers hold few long texts."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def inputs(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone, typed, to be sent to Python in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+
+
 def remainder(key: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n (null for a null id)."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import slices
+from tesserae.llm.common import slices, small_batches
 from tesserae.llm.html_training import training_pages
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -303,6 +303,7 @@ def blocks(source: str, model: tuple[dict, list], threshold: float = 0.5) -> lis
 def extract(pages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """page_id, url, text and n_chars of every page. The model is trained once, on the driver, and sent as a few kilobytes."""
     model = trained()
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sources in slices(batches, "html"):

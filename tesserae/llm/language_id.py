@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import IDENTITY, LETTERLIKE, TABULATION, Words, flat, mixed, remainder, slices
+from tesserae.llm.common import flat, IDENTITY, inputs, LETTERLIKE, mixed, remainder, slices, TABULATION, Words
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -259,4 +259,4 @@ def identify(docs: DataFrame, settings: Settings | None = None, buckets: int = 4
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return inputs(docs).mapInArrow(run, SCHEMA)

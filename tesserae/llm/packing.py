@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import scratch
+from tesserae.llm.common import inputs, scratch
 
 SEQUENCE = (
     "grp long, bin_no long, fill int, emitted boolean, "
@@ -150,7 +150,7 @@ def pack_sequences(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
         return run
 
     base = scratch(spark, "packing")
-    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    source = inputs(docs)
     groups = max(1, source.rdd.getNumPartitions())
     source.mapInArrow(local, SEQUENCE).write.parquet(f"{base}/level=0")
     level = 0

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import IDENTITY, NOT_SPACE, SLICE_BYTES, Words, byte_table, flat, labelled_sample
+from tesserae.llm.common import byte_table, flat, IDENTITY, labelled_sample, NOT_SPACE, SLICE_BYTES, small_batches, Words
 from tesserae.llm.toxicity import scored, sigmoid
 
 PASSAGE = 100
@@ -183,6 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = No
     from pyspark.sql import functions as F
 
     model = fitted(docs, labels, settings)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def quality(texts):

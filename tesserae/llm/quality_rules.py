@@ -25,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import slices
+from tesserae.llm.common import inputs, slices, small_batches
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
-WORDS_OF_SYMBOLS = re.compile(r"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*")
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SENTENCE_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*$")
+SYMBOLS = b"#*$%&|<>"
+WORD_OF_SYMBOLS = re.compile(rb"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*")
+SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+SENTENCE_END = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]]|”|’|»)*\\s*$".encode())
 BOILERPLATE = re.compile(
-    r"lorem ipsum|enable javascript|accept (?:all )?cookies|we use cookies|cookie policy|privacy policy|terms of (?:use|service)"
-    r"|all rights reserved|subscribe to our newsletter|click here|sign (?:in|up) to|share (?:this|on)\b",
+    rb"lorem ipsum|enable javascript|accept (?:all )?cookies|we use cookies|cookie policy|privacy policy|terms of (?:use|service)"
+    rb"|all rights reserved|subscribe to our newsletter|click here|sign (?:in|up) to|share (?:this|on)\b",
     re.IGNORECASE,
 )
 SCHEMA = (
@@ -58,10 +57,12 @@ def repeated_window_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
-    pairs = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1]
-    windows = pairs[:-1] * len(known) + ids[2:]
+    # a word's number is the place where it first stands; three of them make one exact integer
+    ids = np.array(list(map({}.setdefault, words, range(n))), np.int64)
+    if n < 1 << 21:
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    else:
+        windows = np.unique(ids[:-2] * n + ids[1:-1], return_inverse=True)[1] * np.int64(n) + ids[2:]
     order = np.sort(windows)
     again = order[1:][order[1:] == order[:-1]]
     if not len(again):
@@ -73,45 +74,46 @@ def repeated_window_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def line_rule(line: str, words: list[str], alone: bool, rules: Rules) -> str | None:
+def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str | None:
     """The rule that the line fails, if any. alone: it is the document's only line with words."""
     n = len(words)
-    if SYMBOLS.search(line):
-        bars = words.count("|")
+    if len(line.translate(None, SYMBOLS)) < len(line):
+        bars = words.count(b"|")
         if bars >= 2 or bars and 3 * bars >= n:
             return "navigation"
-        if len(WORDS_OF_SYMBOLS.findall(line)) > rules.symbol_words * n:
+        if len(WORD_OF_SYMBOLS.findall(line)) > rules.symbol_words * n:
             return "symbols"
     # cheap looks first: only lines that can fail are counted
-    if "!!" in line or line[: line.find(" ") if " " in line else None].isupper() or line.isupper():
-        loud = sum(w.endswith("!!") or (len(w) > 1 and w.isupper()) for w in words)
-        if n >= 3 and loud > rules.loud_words * n:
+    if n >= 3 and (b"!!" in line or words[0].isupper() or words[-1].isupper()):
+        loud = sum(w.endswith(b"!!") or (len(w) > 1 and w.isupper()) for w in words)
+        if loud > rules.loud_words * n:
             return "shouting"
-    if n >= 4 and sum(map(str.__eq__, words, words[1:])) >= rules.repeat_words * n:
+    if n >= 4 and sum(map(bytes.__eq__, words, words[1:])) >= rules.repeat_words * n:
         return "repeated"
-    if BOILERPLATE.search(line) and n <= 40:
+    if n <= 40 and BOILERPLATE.search(line):
         return "boilerplate"
     if not alone and n < rules.short_words and not SENTENCE_END.search(line):
         return "punctuation"
     return None
 
 
-def judge(text: str, rules: Rules) -> tuple[dict, list[str]]:
-    """The measures of a text, and its lines without those that fail."""
-    words = text.encode().split()
+def judge(text: str, rules: Rules) -> tuple[dict, list[bytes]]:
+    """The measures of a text, and its lines (UTF-8) without those that fail."""
+    data = text.encode()
+    split = [(line, line.split()) for line in data.split(b"\n")]  # bytes split at exactly \x20 and \x09-\x0D
+    words = [w for _, in_line in split for w in in_line]
     n = len(words)
     n_repeat = repeated_window_words(words)
-    seen: set[str] = set()
+    seen: set[bytes] = set()
     n_dup = removed = kept_words = 0
     lines, reasons = [], {}
-    split = [(line, WORD.findall(line)) for line in text.split("\n")]
-    with_words = sum(bool(w) for _, w in split)
+    alone = sum(bool(w) for _, w in split) == 1
     for line, in_line in split:
         if in_line:
             if line in seen:
                 n_dup += 1
             seen.add(line)
-            failed = line_rule(line, in_line, with_words == 1, rules)
+            failed = line_rule(line, in_line, alone, rules)
             if failed:
                 removed += 1
                 reasons[failed] = reasons.get(failed, 0) + len(in_line)
@@ -122,8 +124,8 @@ def judge(text: str, rules: Rules) -> tuple[dict, list[str]]:
     kept = not failed and kept_words > rules.keep_words * n
     reason = None if kept else "base" if failed else max(sorted(reasons), key=reasons.get)
     measures = {
-        "n_words": n, "word_chars": sum(len(w.decode()) for w in words) if not text.isascii() else sum(map(len, words)),
-        "n_symbols": len(SYMBOLS.findall(text)), "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
+        "n_words": n, "word_chars": len(text) - len(data) + len(data.translate(None, SPACE)),
+        "n_symbols": len(data) - len(data.translate(None, SYMBOLS)), "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
         "base_failed": failed, "kept": kept, "n_lines_removed": removed, "n_words_kept": kept_words, "reason": reason,
     }
     return measures, lines
@@ -140,12 +142,13 @@ def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "reason": pa.string()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[c] for x in found], kinds.get(c, pa.int64())) for c in names)], ["doc_id", *names])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return inputs(docs).mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, rules: Rules | None = None, drop: bool = True) -> DataFrame:
     """The kept documents with failing lines removed from ``text``; all columns, in their order. Python sees only texts."""
     rules = rules or Rules()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("kept boolean, text string")
     def cleaned(texts):
@@ -155,7 +158,7 @@ def clean(docs: DataFrame, rules: Rules | None = None, drop: bool = True) -> Dat
         for t in texts:
             measures, lines = judge(t or "", rules)
             kept.append(measures["kept"])
-            out.append("\n".join(lines) if measures["kept"] or not drop else "")
+            out.append(b"\n".join(lines).decode() if measures["kept"] or not drop else "")
         return pd.DataFrame({"kept": kept, "text": out})
 
     marked = docs.withColumn("__clean", cleaned(F.col("text").cast("string")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FOLD, join_groups, slices, stored
+from tesserae.llm.common import FOLD, inputs, join_groups, slices, stored
 from tesserae.llm.components import components
 from tesserae.llm.golay import nearby, parity
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    return inputs(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import slices
+from tesserae.llm.common import inputs, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A space between two characters that are no white space and no space mark.
@@ -96,4 +96,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, segment_chars: i
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return inputs(docs).mapInArrow(run, SCHEMA)

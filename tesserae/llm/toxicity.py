@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import FOLD, TABULATION, WORDLIKE, Words, flat, labelled_sample, mixed, slices
+from tesserae.llm.common import flat, FOLD, inputs, labelled_sample, mixed, slices, TABULATION, WORDLIKE, Words
 
 
 #: Bytes of the word beginnings that are features.
@@ -119,4 +119,4 @@ def scored(docs: DataFrame, score_column, buckets: int, held: int, threshold: fl
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return inputs(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
