@@ -93,7 +93,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = [F.col("doc_id").cast("long").alias("__id"), F.sha2(folded(F.col("text")), 256).alias("__sha")]
     marked = docs.select("*", *key)
     both = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
-    out = marked.join(kept, both, "left_semi")
+    # the same plan at any size: texts are dealt by id once and not sorted, ids are hashed
+    out = marked.join(kept.hint("shuffle_hash"), both, "left_semi")
     again = docs.select(*key).groupBy("__id", "__sha").count().where("count > 1").join(kept, ["__sha"], "left_semi")
     if not again.isEmpty():  # rows that repeat both id and text: one of each
         out = out.dropDuplicates(["__id", "__sha"])

@@ -161,6 +161,7 @@ def clean(docs: DataFrame, rules: Rules | None = None, drop: bool = True) -> Dat
             out.append(b"\n".join(lines).decode() if measures["kept"] or not drop else "")
         return pd.DataFrame({"kept": kept, "text": out})
 
+    cleaned = cleaned.asNondeterministic()  # else filter and projection would each run it
     marked = docs.withColumn("__clean", cleaned(F.col("text").cast("string")))
     if drop:
         marked = marked.where("__clean.kept")

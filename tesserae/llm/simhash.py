@@ -207,7 +207,8 @@ def keep_one(docs: DataFrame, **parameters: int) -> DataFrame:
     """The documents with one of each group of near duplicates (its least doc_id), all columns as they were."""
     first = near_groups(docs, **parameters).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
     kept = stored(first, "kept")
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    # the same plan at any size: texts are dealt by id once and not sorted, ids are hashed
+    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id and a text
         out = out.dropDuplicates(["doc_id", "text"])
     return out
