@@ -8,7 +8,7 @@ import pytest
 
 from tesserae import catalog
 
-from .conftest import SF
+from tests.conftest import SF
 
 
 def shown(v):
