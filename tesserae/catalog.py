@@ -186,7 +186,7 @@ def lookup_prefix_and(t):
 f AS (SELECT term, count(*) AS df FROM q GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) AS score FROM q JOIN f USING (term), n GROUP BY doc_id""")
 def lookup_bm25(t):
-    b = dictionary.bm25(dictionary.terms_of(t("documents"), "doc_id", F.col("text")), "doc_id", ["the", "idiot", "license"])
+    b = dictionary.bm25(t("documents"), "doc_id", F.col("text"), ["the", "idiot", "license"])
     return b.select("doc_id", F.round("score", 4).alias("score"))
 
 

@@ -78,10 +78,16 @@ def lookup_prefix_and(index: DataFrame, id_col: str, prefixes: list[str]) -> Dat
     return hits.groupBy(id_col).agg(F.countDistinct("p").alias("n")).where(F.col("n") == len(set(prefixes))).select(id_col)
 
 
-def bm25(index: DataFrame, id_col: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): Okapi BM25 over the inverted index; totals are one small aggregate row that is cross-joined."""
-    totals = index.select(id_col, "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    hit = index.where(F.col("term").isin(*query))
+def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): Okapi BM25 of the texts that hold a query term.
+
+    Only query terms leave their text, so what is shuffled follows the hits, not the corpus; lengths are one aggregate row.
+    """
+    words = docs.select(F.col(id_col), T.words(text).alias("w")).where(F.size("w") > 0)
+    totals = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
+    own = F.filter("w", lambda x: x.isin(*query))
+    hit = words.select(id_col, F.size("w").alias("length"), F.explode(own).alias("term")).groupBy(id_col, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # both are bounded: a row a query term, and one row
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hit.join(F.broadcast(df), "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
