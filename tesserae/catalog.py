@@ -7,34 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import catalog_resolution  # registers its queries  # noqa: F401
 from tesserae.functions import text as T
 from tesserae.operators import cooccurrence, dictionary, evaluation, events, graph, mentions, vectors
 from tesserae.plans import impact
+from tesserae.registry import QUERIES, Query, query, SQL
 from tesserae.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 RULES = {"email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "number": r"[0-9]{4,}", "license": r"[Ll]icensed? under"}
 SIGNALS = [("question", r"\?"), ("number", r"[0-9]{2,}"), ("symbols", r"[#$%&*]{2,}"), ("short", r"^\S{1,12}$")]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Callable], Callable]:
-    """Register a function of a table reader ``t(name)``, with its SQL."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -128,6 +111,14 @@ def doc_metrics(t):
     return mentions.metrics(t("documents"), rule_regex_matches(t))
 
 
+@query(f"""WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL), c AS (SELECT doc_id, count(*) AS entity_count FROM m GROUP BY doc_id),
+d AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.+&/-]*'))::BIGINT AS token_count, coalesce(entity_count, 0)::BIGINT AS entity_count FROM documents LEFT JOIN c USING (doc_id))
+SELECT doc_id, token_count, entity_count FROM d WHERE token_count >= 50 AND round(100.0 * entity_count / token_count, 4) < 1.0""")
+def density_warning(t):
+    m = mentions.metrics(t("documents"), rule_regex_matches(t), low_density=1.0, least_tokens=50)
+    return m.where("low_density").select("doc_id", "token_count", "entity_count")
+
+
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages""")
 def html_visible_text(t):
     return t("pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
@@ -161,10 +152,10 @@ def pack_diff(t):
     return evaluation.diff(p.where("p_size > 5").select("p_partkey", F.col("p_brand").alias("v")), new, "p_partkey", "v")
 
 
-@query("SELECT p_partkey, p_name FROM part JOIN (SELECT DISTINCT lower(p_name) AS q FROM part WHERE p_size = 7) ON lower(p_name) = q")
+@query("SELECT p_partkey, p_name FROM part JOIN (SELECT DISTINCT lower(p_name) AS q FROM part WHERE p_partkey % 20 = 0) ON lower(p_name) = q")
 def lookup_exact(t):
     p = t("part")
-    return dictionary.lookup_exact(p.select("p_partkey", F.col("p_name").alias("name")), p.where("p_size = 7").select(F.lower("p_name").alias("q")).distinct()).select("p_partkey", F.col("name").alias("p_name"))
+    return dictionary.lookup_exact(p.select("p_partkey", F.col("p_name").alias("name")), p.where("p_partkey % 20 = 0").select(F.lower("p_name").alias("q")).distinct()).select("p_partkey", F.col("name").alias("p_name"))
 
 
 @query("""SELECT p_partkey, rank, p_name, p_brand FROM (SELECT p_partkey, p_name, p_brand, greatest(CASE WHEN lower(p_name) = 'brand#1' THEN 3 WHEN starts_with(lower(p_name), 'brand#1') THEN 2 WHEN contains(lower(p_name), 'brand#1') THEN 1 ELSE 0 END,
@@ -243,9 +234,9 @@ def graph_neighbors_topn(t):
     return graph.top_neighbors(t("lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight")), 10)
 
 
-@query(f"SELECT dst, count(*) AS seed_count FROM ({PAIRS_SQL}) WHERE src <= 5 GROUP BY dst HAVING count(*) >= 2")
+@query(f"SELECT dst, count(*) AS seed_count FROM ({PAIRS_SQL}) WHERE src % 20 = 0 GROUP BY dst HAVING count(*) >= 2")
 def graph_shared_neighbors(t):
-    seeds = t("supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("src"))
+    seeds = t("supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("src"))
     return graph.shared_neighbors(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), seeds)
 
 
@@ -266,17 +257,19 @@ def type_closure(t):
     return graph.closure(hierarchy(t), 3)
 
 
-@query(f"{CLOSURE_SQL} SELECT a.node AS \"left\", b.node AS \"right\", a.ancestor, a.hops + b.hops AS hops FROM c a JOIN c b USING (ancestor) WHERE a.node IN ('c1', 'c2', 'c3') AND b.node IN ('c4', 'c5')")
+@query(f"{CLOSURE_SQL} SELECT a.node AS \"left\", b.node AS \"right\", a.ancestor, a.hops + b.hops AS hops FROM c a JOIN c b USING (ancestor) WHERE a.node LIKE 'n%' AND b.node LIKE 'r%'")
 def graph_shared_ancestors(t):
+    # every nation with every region: two lists that do not grow
     h = hierarchy(t)
-    of = lambda *names: h.select(F.col("child").alias("node")).where(F.col("node").isin(*names))
-    return graph.shared_ancestors(h, of("c1", "c2", "c3"), of("c4", "c5"), 3)
+    nations = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return graph.shared_ancestors(h, nations, t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node")), 3)
 
 
-@query(f"{CLOSURE_SQL} SELECT node AS source, ancestor AS node, min(hops) AS hops FROM c WHERE node IN ('c1', 'c2') GROUP BY ALL UNION ALL SELECT 'c1', 'c1', 0 UNION ALL SELECT 'c2', 'c2', 0")
+@query(f"{CLOSURE_SQL}, s AS (SELECT 'c' || c_custkey AS source FROM customer WHERE c_custkey % 20 = 0) SELECT source, ancestor AS node, min(hops) AS hops FROM c JOIN s ON node = source GROUP BY ALL UNION ALL SELECT source, source, 0 FROM s")
 def graph_shortest_path(t):
     h = hierarchy(t)
-    return graph.shortest_paths(h.select(F.col("child").alias("src"), F.col("parent").alias("dst")), h.select(F.col("child").alias("node")).where("node IN ('c1', 'c2')"), 3)
+    sources = t("customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return graph.shortest_paths(h.select(F.col("child").alias("src"), F.col("parent").alias("dst")), sources, 3)
 
 
 IMPACT_SQL = """WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.9 AS confidence FROM nation UNION ALL SELECT 'n' || c_nationkey, 'm' || c_mktsegment, 0.5 + 0.01 * (count(*) % 40) FROM customer GROUP BY ALL),
@@ -291,10 +284,11 @@ def impact_expand(t):
     return graph.expand_paths(impact.market_edges(t("nation"), t("customer")), t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
 
 
-@query("SELECT s_suppkey AS ref, c_custkey AS node, 1::BIGINT AS shared FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <= 20")
+@query("SELECT o_custkey AS ref, l_partkey AS node, count(DISTINCT o_orderkey) AS shared FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def identity_bridge(t):
-    refs = t("supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("ref"), F.col("s_nationkey").alias("key"))
-    return graph.identity_bridge(refs, t("customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("key")))
+    # an order is the identity: customers are references to it, parts are nodes that carry it
+    refs = t("orders").select(F.col("o_custkey").alias("ref"), F.col("o_orderkey").alias("key"))
+    return graph.identity_bridge(refs, t("lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("key")))
 
 
 @query("SELECT 'n' || n_nationkey AS node, 'region:' || r_name AS target, 'located_in' AS relation, 0.8::DOUBLE AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -316,6 +310,11 @@ def vector_topk_cosine(t):
     return neighbours(t)
 
 
+@query(f"WITH {COSINE_SQL}, s AS (SELECT query_id, a.label, sum((a.label = b.label)::INT) / 10.0 AS share FROM kn JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = kn.vec_id GROUP BY ALL) SELECT label, count(*) AS seeds, round(avg(share), 4) AS coherence FROM s GROUP BY label")
+def doc_coherence(t):
+    return vectors.coherence(neighbours(t), t("embeddings").select("vec_id", "label"), 10)
+
+
 @query(f"WITH {COSINE_SQL} SELECT query_id, sum((a.label = b.label)::INT)::BIGINT AS support, round(avg(cosine), 4) AS mean_cosine FROM kn JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = kn.vec_id GROUP BY query_id")
 def vector_seed_support(t):
     return vectors.seed_support(neighbours(t), t("embeddings").select("vec_id", "label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,10 @@ def supports(pairs: DataFrame, seeds: DataFrame, window: str) -> DataFrame:
     both = both.select("left", "right", "weight").unionByName(both.select(F.col("right").alias("left"), F.col("left").alias("right"), "weight"))
     hit = both.join(seeds.select(F.col("entity").alias("left")), "left", "left_semi")
     return hit.groupBy(F.col("right").alias("entity")).agg(F.countDistinct("left").alias("seed_count"), F.sum("weight").alias("weight"))
+
+
+def record_weight(value: Column, time: Column, as_of: str, scale: float) -> Column:
+    """A record's weight of 1 to 5: value over scale, times 1.45 in the last day and 1.2 in the last week before ``as_of``."""
+    now = F.lit(as_of).cast("timestamp")
+    recency = F.when(time > now - F.expr("INTERVAL 1 DAY"), 1.45).when(time > now - F.expr("INTERVAL 7 DAYS"), 1.2).otherwise(1.0)
+    return F.greatest(F.lit(1), F.least(F.lit(5), F.round(value * recency / scale))).cast("int")

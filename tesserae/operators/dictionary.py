@@ -105,3 +105,8 @@ def lookup_trigram(aliases: DataFrame, id_col: str, name: str, query: str, least
     q = aliases.select(id_col, name, trigrams(F.col(name)).alias("t"), trigrams(F.lit(query)).alias("q"))
     s = F.size(F.array_intersect("t", "q")) / F.size(F.array_union("t", "q"))
     return q.select(id_col, name, F.round(s, 4).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is not among the others; only distinct keys of the others are shuffled."""
+    return rows.join(others.select(*keys).distinct(), keys, "left_anti")

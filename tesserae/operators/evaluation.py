@@ -77,3 +77,16 @@ def running_maximum(rows: DataFrame, key: str, order: str, value: Column) -> Dat
     """Each row with ``before``: the largest value of its key's earlier rows."""
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("before", F.max(value).over(w))
+
+
+def match_counts(expected: DataFrame, actual: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, matched, missing, unexpected) of two sets of (group, item), repeats counted once; one shuffle."""
+    both = expected.select(group, item, F.lit(1).alias("e")).unionByName(actual.select(group, item, F.lit(2).alias("e")))
+    sides = both.groupBy(group, item).agg(F.bit_or("e").alias("e"))
+    return sides.groupBy(group).agg(F.count_if(F.col("e") == 3).alias("matched"), F.count_if(F.col("e") == 1).alias("missing"), F.count_if(F.col("e") == 2).alias("unexpected"))
+
+
+def deltas(base: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, delta): new less base, to 6 places; a key absent on one side counts as 1.0 there."""
+    j = base.select(key, F.col(value).alias("o")).join(new.select(key, F.col(value).alias("n")), key, "full_outer")
+    return j.select(key, F.round(F.coalesce("n", F.lit(1.0)) - F.coalesce("o", F.lit(1.0)), 6).alias("delta"))

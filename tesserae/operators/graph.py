@@ -94,3 +94,8 @@ def identity_bridge(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 def template_edges(nodes: DataFrame, templates: DataFrame) -> DataFrame:
     """Every node of a kind with every target of the kind's template: an equi-join on the kind; templates are a constant table."""
     return nodes.join(F.broadcast(templates), "kind").select("node", "target", "relation", "confidence")
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Every edge (src, dst) in both directions."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -71,15 +71,21 @@ def resolve_overlaps(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
     return mentions.groupBy(doc).applyInPandas(best, schema)
 
 
-def metrics(docs: DataFrame, mentions: DataFrame, doc: str = "doc_id", text_col: str = "text", low_density: float = 0.5) -> DataFrame:
+def metrics(docs: DataFrame, mentions: DataFrame, doc: str = "doc_id", text_col: str = "text", low_density: float = 0.5, least_tokens: int = 100) -> DataFrame:
     """(doc, token_count, entity_count, per_100_tokens, low_density) with documents that have no mention."""
     counts = mentions.groupBy(doc).agg(F.count(F.lit(1)).alias("entity_count"))
     base = docs.select(doc, T.token_count(F.col(text_col)).cast("long").alias("token_count")).join(counts, doc, "left")
     n = F.coalesce("entity_count", F.lit(0)).cast("long")
     rate = F.round(100.0 * n / F.greatest("token_count", F.lit(1)), 4)
-    return base.select(doc, "token_count", n.alias("entity_count"), rate.alias("per_100_tokens"), ((F.col("token_count") >= 100) & (rate < low_density)).alias("low_density"))
+    return base.select(doc, "token_count", n.alias("entity_count"), rate.alias("per_100_tokens"), ((F.col("token_count") >= least_tokens) & (rate < low_density)).alias("low_density"))
 
 
 def topics(mentions: DataFrame, domain: str) -> DataFrame:
     """(domain, label, mentions, docs): topic evidence by domain and label."""
     return mentions.groupBy(domain, "label").agg(F.sum("n").alias("mentions"), F.countDistinct("doc_id").alias("docs"))
+
+
+def topic_scores(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """(keys, score): mean weight times .8 and .08 a mention up to .2, at most 1, to 4 places."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(*keys).agg(F.round(F.least(F.lit(1.0), F.sum(weight) / n * 0.8 + F.least(F.lit(0.2), 0.08 * n)), 4).alias("score"))

@@ -52,3 +52,9 @@ def feature_hash(features: DataFrame, id_col: str, dims: int = 384) -> DataFrame
     summed = features.select(id_col, bucket, "weight").groupBy(id_col, "bucket").agg(F.sum("weight").alias("value"))
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy(id_col)))
     return summed.select(id_col, "bucket", F.round(F.col("value") / norm, 6).alias("value"))
+
+
+def coherence(neighbours: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(label, seeds, coherence): the mean share of a seed's k neighbours that have its label, over the label's seeds."""
+    s = seed_support(neighbours, labels).join(labels.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.avg(F.col("support") / k), 4).alias("coherence"))

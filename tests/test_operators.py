@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import articles
 from tesserae.functions import text as T
-from tesserae.operators import events, graph, mentions
+from tesserae.operators import evaluation, events, graph, heuristics, mentions, resolution
 from tesserae.sources import files
 
 
@@ -100,3 +102,92 @@ def test_mapped_rejects_with_reason(spark):
 @pytest.mark.parametrize("text,wanted", [("Bank of New York", "BNY"), ("x", None)])
 def test_initialism(spark, text, wanted):
     assert spark.createDataFrame([(text,)], "t string").select(T.initialism(F.col("t")).alias("i")).first().i == wanted
+
+
+def test_acronym_definitions(spark):
+    texts = [
+        (1, "The Bank of New York (BNY) said so. BNY rose; BNYX did not. BNY."),
+        (2, "A Red Cat (RC) met a Rusty Can (RC)."),  # two meanings: none
+        (3, "nothing here (XY)"), (4, None), (5, ""),
+    ]
+    rows = heuristics.acronym_definitions(spark.createDataFrame(texts, "id long, t string"), "id", F.col("t")).collect()
+    assert [tuple(r) for r in rows] == [(1, "BNY", "Bank of New York", 2)]
+
+
+def test_registered_definitions_are_all_found(spark):
+    from tesserae import catalog_resolution as c
+
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert c.acronym_definitions(t).count() >= 0.8 * t("benchmark").count()
+
+
+def test_structured_names_and_prefixes(spark):
+    df = spark.createDataFrame([(1, "the Grand Oak University and Oak University, Grand Oak University. Paris-based"), (2, None)], "id long, t string")
+    rows = heuristics.structured_names(df, "id", F.col("t"), ("University", "Agency")).collect()
+    assert {(r.surface, r.start) for r in rows} == {("Grand Oak University", 4), ("Oak University", 29)}
+    aliases = spark.createDataFrame([("paris", "city")], "key string, kind string")
+    assert [tuple(r) for r in heuristics.hyphen_prefixes(df, "id", F.col("t"), aliases).select("id", "key", "kind").collect()] == [(1, "paris", "city")]
+
+
+def test_covered_ties_and_repeats(spark):
+    spans = [(1, 0, 5, "a"), (1, 0, 5, "a"), (1, 1, 4, "b"), (1, 0, 3, "c"), (1, 3, 6, "d"), (2, 1, 4, "e")]
+    rows = heuristics.covered(spark.createDataFrame(spans, "doc long, start long, end long, surface string"), "doc").collect()
+    assert sorted({(r.surface, r.covered) for r in rows}) == [("a", False), ("b", True), ("c", True), ("d", False), ("e", False)]
+
+
+def test_resolution_cascade(spark):
+    ix = spark.createDataFrame([("n", "1", 10), ("n", "2", 11), ("n", "2", 12), ("b", "x", 13)], "kind string, key string, id int")
+    refs = spark.createDataFrame([("r1", "b", "x"), ("r1", "n", "1"), ("r2", "n", "2"), ("r2", "b", "x"), ("r3", "n", "9")], "ref string, kind string, key string")
+    rows = resolution.resolve(refs, "ref", resolution.unambiguous(ix, "id"), "id", ["n", "b"]).collect()
+    assert sorted(map(tuple, rows)) == [("r1", 10, "n"), ("r2", 13, "b")]
+
+
+def test_runs_with_nulls(spark):
+    rows = [(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "a")]
+    got = resolution.runs(spark.createDataFrame(rows, "k int, o int, v string"), "k", ["o"], "v").orderBy("run").collect()
+    assert [(r.v, r.n) for r in got] == [("a", 2), (None, 2), ("a", 1)]
+
+
+def test_articles(spark):
+    long = " ".join(["word"] * 90)
+    declared = f'<script type="application/ld+json">{{"articleBody": "{long} end"}}</script><p>x</p>'
+    df = spark.createDataFrame([(1, declared), (2, f"<P class=a>{long}</P>\n<p>more</p>"), (3, "<p>short</p>"), (4, None)], "id int, html string")
+    got = {r.id: r.t for r in df.select("id", articles.article_text(F.col("html")).alias("t")).collect()}
+    assert got == {1: f"{long} end", 2: f"{long} more", 3: None, 4: None}
+
+
+def test_record_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": {"rows": [{"x": 1},\n {"x": 2}]}}')
+    rows = files.json_records(spark, str(tmp_path / "a.json"), "data struct<rows: array<struct<x: int>>>", "data.rows").collect()
+    assert [r.x for r in rows] == [1, 2]
+    (tmp_path / "b.nt").write_text('<http://e/Q1> <http://p/P31> <http://e/Q2> .\n<http://e/Q1> <http://p/P2> "text" .\n<http://e/Q3> <http://p/P5> <http://e/Q1> .\n')
+    assert [tuple(r) for r in files.triples(spark, str(tmp_path / "b.nt"), ["P31"]).collect()] == [("Q1", "P31", "Q2")]
+    assert files.triples(spark, str(tmp_path / "b.nt")).count() == 2
+    (tmp_path / "c.obo").write_text("format: 1\n\n[Term]\nid: A:1\nname: one\nsynonym: uno\nsynonym: ein\n\n[Term]\nid: A:2\nname: two\n\n[Typedef]\nid: T\nname: no\n")
+    got = sorted(tuple(r) for r in files.stanzas(spark, str(tmp_path / "c.obo"), "Term", ["id", "name"], ["synonym"]).where("id like 'A:%'").collect())
+    assert got == [("A:1", "one", ["uno", "ein"]), ("A:2", "two", [])]
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("k1.json", "{}")
+        z.writestr("k2.json", "[]")
+    wanted = spark.createDataFrame([("k2.json",), ("k9.json",)], "name string")
+    assert [(r.name, r.text) for r in files.zip_members(spark, str(tmp_path), wanted).collect()] == [("k2.json", "[]")]
+
+
+def test_headers_nested_records_and_vectors(spark, tmp_path):
+    df = spark.createDataFrame([("", "A", "x"), ("b", "B", "y")], "`Act Symbol` string, SYMBOL string, name string")
+    got = [tuple(r) for r in files.coalesced(df, {"ticker": ["act symbol", "symbol"], "title": ["name"], "gone": ["nowhere"]}).collect()]
+    assert got == [("A", "x", None), ("b", "y", None)]
+    nested = spark.createDataFrame([(1, [(5,), (6,)]), (2, [])], "id int, parts array<struct<v: int>>")
+    assert [tuple(r) for r in files.flattened(nested, ["id"], "parts").collect()] == [(1, 0, 5), (1, 1, 6)]
+    files.write_vectors(spark.range(50).select((49 - F.col("id")).alias("id"), F.array(F.lit(1.0)).alias("vector")), str(tmp_path / "v"))
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "v").glob("part-*"))
+    assert spark.read.json(str(tmp_path / "v")).count() == 50
+
+
+def test_deltas_and_matches(spark):
+    a = spark.createDataFrame([("x", 0.5), ("y", 0.25)], "k string, v double")
+    b = spark.createDataFrame([("y", 0.5), ("z", 0.5)], "k string, v double")
+    assert {r.k: r.delta for r in evaluation.deltas(a, b, "k", "v").collect()} == {"x": 0.5, "y": 0.25, "z": -0.5}
+    e = spark.createDataFrame([(1, "p"), (1, "q"), (1, "q")], "g int, i string")
+    o = spark.createDataFrame([(1, "q"), (1, "r"), (2, "s")], "g int, i string")
+    assert sorted(map(tuple, evaluation.match_counts(e, o, "g", "i").collect())) == [(1, 1, 1, 1), (2, 0, 0, 1)]
