@@ -229,7 +229,7 @@ def graph_degree_stats(t):
 PAIRS_SQL = "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL"
 
 
-@query(f"SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM ({PAIRS_SQL}) QUALIFY rank <= 10")
+@query(f"SELECT src, dst, weight, (row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst))::INT AS rank FROM ({PAIRS_SQL}) QUALIFY rank <= 10")
 def graph_neighbors_topn(t):
     return graph.top_neighbors(t("lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight")), 10)
 
@@ -276,7 +276,7 @@ IMPACT_SQL = """WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey
 s AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS rn FROM e QUALIFY rn <= 64), p1 AS (SELECT src AS seed, dst AS node, 1 AS hops, confidence FROM s WHERE src LIKE 'r%'),
 p2 AS (SELECT p1.seed, s.dst AS node, 2 AS hops, least(p1.confidence, s.confidence) * 0.9 AS confidence FROM p1 JOIN s ON p1.node = s.src), a AS (SELECT seed, node, hops, round(confidence, 6) AS confidence FROM p1 UNION ALL SELECT seed, node, hops, round(confidence, 6) FROM p2),
 b AS (SELECT seed, node, arg_max(hops, struct_pack(x := confidence, y := -hops)) AS hops, max(confidence)::DOUBLE AS confidence FROM a GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, hops, node) AS rank FROM b QUALIFY rank <= 25"""
+SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, hops, node))::INT AS rank FROM b QUALIFY rank <= 25"""
 
 
 @query(IMPACT_SQL)
@@ -305,7 +305,7 @@ def neighbours(t: Callable, k: int = 10) -> DataFrame:
 COSINE_SQL = "kn AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id QUALIFY rank <= 10)"
 
 
-@query(f"WITH {COSINE_SQL} SELECT query_id, vec_id, cosine, rank FROM kn")
+@query(f"WITH {COSINE_SQL} SELECT query_id, vec_id, cosine, rank::INT AS rank FROM kn")
 def vector_topk_cosine(t):
     return neighbours(t)
 
@@ -325,7 +325,7 @@ def vector_mrr_at_k(t):
     return vectors.reciprocal_rank(neighbours(t), t("embeddings").select("vec_id", "label"))
 
 
-@query(f"WITH {COSINE_SQL}, g AS (SELECT label, kn.vec_id, count(*) AS seeds, max(cosine) AS best FROM kn JOIN embeddings a ON a.vec_id = query_id GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY label ORDER BY seeds DESC, best DESC, vec_id) AS rank FROM g QUALIFY rank <= 5")
+@query(f"WITH {COSINE_SQL}, g AS (SELECT label, kn.vec_id, count(*) AS seeds, max(cosine) AS best FROM kn JOIN embeddings a ON a.vec_id = query_id GROUP BY ALL) SELECT *, (row_number() OVER (PARTITION BY label ORDER BY seeds DESC, best DESC, vec_id))::INT AS rank FROM g QUALIFY rank <= 5")
 def related_aggregate(t):
     return vectors.related(neighbours(t), t("embeddings").select("vec_id", "label"), 5)
 
@@ -357,7 +357,12 @@ def cooccurrence_supports(t):
     return cooccurrence.supports(order_pairs(t), t("part").where("p_size <= 10").select(F.col("p_partkey").alias("entity")), "d30")
 
 
-@query()
+SIGNAL_SQL = " ".join(f"WHEN regexp_matches(sentence, '{p}') THEN '{name}'" for name, p in SIGNALS)
+
+
+@query(rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+|\n{{2,}}', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS w FROM documents),
+e AS (SELECT doc_id, (i - 1)::INT AS seq, w[i] AS sentence FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s))
+SELECT * FROM (SELECT doc_id, seq, CASE {SIGNAL_SQL} END AS signal FROM e) WHERE signal IS NOT NULL""")
 def event_signals_first_match(t):
     return events.first_signals(t("documents"), SIGNALS, "doc_id", "text")
 

@@ -184,7 +184,7 @@ def adjacent_segments(t):
     return resolution.runs(t("events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20")
+@query("SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::INT AS rank FROM documents QUALIFY rank <= 20")
 def top_per_source(t):
     return resolution.top_rows(t("documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 20)
 
@@ -243,7 +243,8 @@ def unresolved_entities(t):
     return s.join(t("nation"), "n_nationkey", "left").select("s_suppkey", "slug", F.concat(F.lit("Nation "), F.upper("n_name")).alias("display"))
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority LIKE '1%')""")
 def passive_entities(t):
-    """Customers that no order points to: candidates without a terminal."""
-    return dictionary.without(t("customer").select("c_custkey", "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers that no urgent finished order points to: candidates without a terminal."""
+    urgent = t("orders").where((F.col("o_orderstatus") == "F") & F.startswith("o_orderpriority", F.lit("1")))
+    return dictionary.without(t("customer").select("c_custkey", "c_name"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
