@@ -423,9 +423,7 @@ def surname_running_max(t):
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT ts::DATE) AS days FROM events GROUP BY event_type")
 def stream_windowed_counts(t):
-    static = t("events")
-    folder = static.inputFiles()[0].rsplit("/", 1)[0]
-    stream = static.sparkSession.readStream.schema(static.schema).option("pathGlobFilter", "events*").parquet(folder) if "events.parquet" not in folder else static.sparkSession.readStream.schema(static.schema).parquet(folder)
+    stream = windows.file_stream(t("events"))
     w = windows.run_available(windows.windowed_counts(stream), "complete")
     return w.groupBy("event_type").agg(F.sum("n").alias("n"), F.countDistinct("start").alias("days"))
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import articles
+from tesserae.functions import articles, normalise
 from tesserae.operators import cooccurrence, dictionary, evaluation, graph, heuristics, mentions, resolution
 from tesserae.registry import query
+from tesserae.streaming import windows
 
 CONNECTORS_SQL = "('of', 'the', 'and', 'for', 'de', 'la')"
 LETTERS_SQL = r"list_filter(regexp_split_to_array({}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -248,3 +249,37 @@ def passive_entities(t):
     """Customers that no urgent finished order points to: candidates without a terminal."""
     urgent = t("orders").where((F.col("o_orderstatus") == "F") & F.startswith("o_orderpriority", F.lit("1")))
     return dictionary.without(t("customer").select("c_custkey", "c_name"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_name END AS display, c_nationkey || ':' || c_mktsegment AS key, CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_acctbal > 1 THEN 1.0 ELSE c_acctbal END::DOUBLE AS confidence,
+CASE WHEN lower(c_mktsegment) IN ('machinery') THEN 'stop_list' WHEN length(c_mktsegment) < 9 THEN 'too_short' END AS drop_reason FROM customer""")
+def record_normalisation(t):
+    segment = F.col("c_mktsegment")
+    display = F.when(segment == "BUILDING", normalise.display_name(F.col("c_name"), F.lit("currency"))).otherwise(F.col("c_name"))
+    return t("customer").select(
+        "c_custkey", display.alias("display"), normalise.ticker_keys(segment, F.col("c_nationkey").cast("string"))[0].alias("key"),
+        normalise.clamped(F.col("c_acctbal").cast("string"), 0.5).alias("confidence"), normalise.alias_drop_reason(segment, ("machinery",), 9).alias("drop_reason"),
+    )
+
+
+@query("""SELECT l_suppkey, count(*) AS edges, count(*) FILTER (direction = 'up') AS up, count(*) FILTER (direction = 'none') AS unknown FROM
+(SELECT l_suppkey, CASE WHEN l_returnflag = 'R' AND o_orderstatus = 'F' THEN 'up' WHEN l_returnflag = 'N' THEN 'none' ELSE 'down' END AS direction FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_suppkey""")
+def direction_overrides(t):
+    edge = F.struct(F.col("l_returnflag").alias("relation"), F.lit("down").alias("direction"))
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    changed = normalise.redirected(F.array(edge), [(F.col("o_orderstatus") == "F", "R", "up"), (F.lit(True), "N", "none")])
+    d = j.select("l_suppkey", F.explode(changed).alias("e"))
+    return d.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("e.direction") == "up").alias("up"), F.count_if(F.col("e.direction") == "none").alias("unknown"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN 'forbidden_pair' ELSE 'ok' END AS verdict, count(*) AS n FROM lineitem GROUP BY ALL""")
+def forbidden_pairs(t):
+    codes = resolution.forbidden(F.col("l_returnflag"), F.col("l_linestatus"), [("A", "O"), ("N", "F")])
+    return t("lineitem").groupBy("l_returnflag", "l_linestatus", codes.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_type, start, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY ALL""")
+def stream_sliding_counts(t):
+    """Counts in windows of two days that start every day, from a stream of the events' files, run until it is drained."""
+    stream = windows.file_stream(t("events"))
+    return windows.run_available(windows.sliding_counts(stream, "2 days", "1 day"), "complete").select("event_type", "start", "n")

@@ -101,3 +101,11 @@ def runs(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key, with their rank; Spark limits each group before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def forbidden(left: Column, right: Column, pairs: list[tuple[str, str]]) -> Column:
+    """'forbidden_pair' where (left, right) is among ``pairs``, else 'ok'; a null side is no pair."""
+    hit = F.lit(False)
+    for a, b in pairs:
+        hit = hit | (left.eqNullSafe(a) & right.eqNullSafe(b))
+    return F.when(hit, "forbidden_pair").otherwise("ok")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,17 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding_counts(events: DataFrame, width: str, slide: str, late: str = "1 hour") -> DataFrame:
+    """(start, event_type, n) over windows of ``width`` that start every ``slide``."""
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type")
+    return g.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def deduplicated(records: DataFrame, key: str, late: str = "1 day") -> DataFrame:
+    """Records (ts, key, ...) without later ones of the same key; keys are kept only for ``late``."""
+    return records.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
 def tagged(docs: DataFrame, aliases: DataFrame, sizes: list[int]) -> DataFrame:
     """Mentions of a document stream against a static alias table: a stream-static join without state."""
     return dictionary.tag_exact(docs, aliases, sizes=sizes)
@@ -30,7 +41,8 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a file stream reads a folder; the table is one of the files in its parent
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+def file_stream(table: DataFrame) -> DataFrame:
+    """A stream of the files that a table was read from; a file stream reads a folder, also where the table is one file in it."""
+    folder, name = table.inputFiles()[0].rsplit("/", 1)
+    reader = table.sparkSession.readStream.schema(table.schema)
+    return reader.parquet(folder) if folder.endswith(".parquet") else reader.option("pathGlobFilter", name).parquet(folder)

@@ -7,10 +7,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import articles
+from tesserae.functions import articles, normalise
 from tesserae.functions import text as T
 from tesserae.operators import evaluation, events, graph, heuristics, mentions, resolution
 from tesserae.sources import files
+from tesserae.streaming import windows
 
 
 def test_overlaps_against_all_subsets(spark):
@@ -191,3 +192,25 @@ def test_deltas_and_matches(spark):
     e = spark.createDataFrame([(1, "p"), (1, "q"), (1, "q")], "g int, i string")
     o = spark.createDataFrame([(1, "q"), (1, "r"), (2, "s")], "g int, i string")
     assert sorted(map(tuple, evaluation.match_counts(e, o, "g", "i").collect())) == [(1, 1, 1, 1), (2, 0, 0, 1)]
+
+
+def test_normalisation(spark):
+    rows = [("U. S. A.", "Ann van der Lee", "2020", "http://x/Q12", "0.7", "us"), ("U.S.A.", "Ann Lee", "31/12/2021", "wd:q3", "7", "42"), ("Mr. X.", None, "20220105", "Q", "-1", "--"), (None, "A B C D E", "soon", None, "n/a", "good one")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string")
+    out = df.select(
+        normalise.undotted(F.col("a")), normalise.first_last(F.col("b")), normalise.day_of(F.col("c")).cast("string"), normalise.qid(F.col("d")),
+        normalise.clamped(F.col("e"), 0.5), normalise.alias_drop_reason(F.col("f"), ("us",)),
+    ).collect()
+    assert [r[0] for r in out] == ["USA", "USA", "Mr. X.", None]
+    assert [r[1] for r in out] == ["Ann Lee", None, None, None]
+    assert [r[2] for r in out] == ["2020-01-01", "2021-12-31", "2022-01-05", None]
+    assert [r[3] for r in out] == ["Q12", "Q3", None, None]
+    assert [r[4] for r in out] == [0.7, 1.0, 0.0, 0.5]
+    assert [r[5] for r in out] == ["stop_list", "number", "no_letter_or_digit", None]
+
+
+def test_stream_deduplication(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", 1), ("2024-01-01 01:00:00", 1), ("2024-01-01 02:00:00", 2)]
+    spark.createDataFrame(rows, "t string, k int").select(F.col("t").cast("timestamp").alias("ts"), "k").write.parquet(str(tmp_path / "r.parquet"))
+    stream = windows.file_stream(spark.read.parquet(str(tmp_path / "r.parquet")))
+    assert sorted(r.k for r in windows.run_available(windows.deduplicated(stream, "k"), "append").collect()) == [1, 2]
