@@ -20,6 +20,7 @@ import regex
 
 #: Pre-tokeniser pattern of the vocabulary (fixed value).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of a generation of the memo; two are held.
 MEMO_WORDS = 400_000
 MEMO_ARCS = 4_000_000
 
@@ -48,6 +49,7 @@ class Automaton:
         self._split = regex.compile(PRE_SPLIT)
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._chunks: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def _compile(self, merges: list[tuple[int, int, int]], alphabet: list[int]) -> None:
         """Apply the merge gadgets. State 0 is the start; ``parent``/``taken``/``born`` describe each later copy."""
@@ -152,16 +154,28 @@ class Automaton:
                 token = shorter.get(token, -1)
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        """The ids of a text without special strings, by its pre-split words; short ones are remembered."""
+        """The ids of a text without special strings, by its pre-split words; short ones are remembered in two generations."""
         found = self._chunks.get(text)
         if found is None:
-            found = tuple(i for piece in self._split.findall(text) for i in self.word(piece.encode()))
+            found = self._older.get(text)
+            if found is None:
+                found = self._pieces(text)
             if len(text) <= 48:
                 if len(self._chunks) >= MEMO_WORDS:
-                    self._chunks.clear()
+                    # words met again since the last turn are carried on, the rest is forgotten
+                    self._older, self._chunks = self._chunks, {}
                 self._chunks[text] = found
         return found
 
+    def _pieces(self, text: str) -> tuple[int, ...]:
+        """The ids by pre-split words. Plain words of Latin letters, also before one sign, need no pattern to be split."""
+        last = text[-1]
+        if last in SIGNS and len(text) > 1 and text[-2].isalpha():
+            return (*self.chunk(text[:-1]), self.by_label[last.encode()])  # the pre-split always cuts after a letter there
+        if max(text) < BEYOND_LATIN and (text[1:] if text[0] == " " else text).isalpha():
+            return tuple(self.word(text.encode()))
+        return tuple(i for piece in self._split.findall(text) for i in self.word(piece.encode()))
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; special strings in it become their ids."""
         ids: list[int] = []
@@ -177,15 +191,15 @@ class Automaton:
         if not text:
             return
         # between a non-space and a single space before a non-space the pre-split always cuts
-        if "  " in text or LOOSE_SPACE.search(text):
+        if loose_space(text):
             parts = SAFE_CUT.split(text)
         else:
             first, *parts = text.split(" ")
             if first:
                 ids += self.chunk(first)
-            known, chunk = self._chunks.get, self.chunk
+            chunk = self.chunk
             for p in parts:
-                ids += known(s := " " + p) or chunk(s)
+                ids += self._chunks.get(s := " " + p) or chunk(s)
             return
         for p in parts:
             if p:
@@ -196,11 +210,19 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-#: A space next to other white space or at an end: then cuts are searched by pattern.
-LOOSE_SPACE = regex.compile(r"[^\S ] | [^\S ]| \Z")
+#: Signs of one byte and label, none of which starts a contraction, and the first code point after the Latin letters.
+SIGNS = ".,;:!?"
+BEYOND_LATIN = "\u0250"
+#: White space other than the space; every code point that Unicode counts so lies below this bound.
+WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 SAFE_CUT = regex.compile(r"(?<=\S)(?= \S)")
 
 
+def loose_space(text: str) -> bool:
+    """Whether a space stands next to white space or at the end: then cuts are searched by pattern."""
+    return text[-1] == " " or "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in WHITE)
+
+
 @lru_cache(maxsize=2)
 def automaton(path: str) -> Automaton:
     """The compiled automaton of a vocabulary file, once a process."""
