@@ -74,6 +74,15 @@ def repeated_window_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def shouting(line: bytes, words: list[bytes], most: float) -> bool:
+    """Whether over ``most`` words are upper case with letters, or end in !!."""
+    # bytes.isupper() knows ASCII letters only
+    upper = sum(map(bytes.isupper, words)) if line.isascii() else sum(map(str.isupper, map(bytes.decode, words)))
+    if upper <= most and b"!!" not in line:  # without !! no more words are loud than are upper case
+        return False
+    return sum(w.endswith("!!") or (len(w) > 1 and w.isupper()) for w in map(bytes.decode, words)) > most
+
+
 def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str | None:
     """The rule that the line fails, if any. alone: it is the document's only line with words."""
     n = len(words)
@@ -83,11 +92,8 @@ def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str
             return "navigation"
         if len(WORD_OF_SYMBOLS.findall(line)) > rules.symbol_words * n:
             return "symbols"
-    # cheap looks first: only lines that can fail are counted
-    if n >= 3 and (b"!!" in line or words[0].isupper() or words[-1].isupper()):
-        loud = sum(w.endswith(b"!!") or (len(w) > 1 and w.isupper()) for w in words)
-        if loud > rules.loud_words * n:
-            return "shouting"
+    if n >= 3 and shouting(line, words, rules.loud_words * n):
+        return "shouting"
     if n >= 4 and sum(map(bytes.__eq__, words, words[1:])) >= rules.repeat_words * n:
         return "repeated"
     if n <= 40 and BOILERPLATE.search(line):

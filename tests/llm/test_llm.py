@@ -381,6 +381,21 @@ def test_quality_rules_lines():
     assert not measures["kept"]
 
 
+def test_quality_rules_loud_lines():
+    rules = quality_rules.Rules()
+    fails = lambda line: quality_rules.line_rule(line.encode(), line.encode().split(), False, rules)
+    for line in ("1. BUY CHEAP PILLS TODAY NOW 99", "- BIG SALE HERE TODAY -", "КУПИТЕ НАШИ ТАБЛЕТКИ СЕГОДНЯ", "99 ΑΓΟΡΑΣΤΕ ΤΩΡΑ ΦΘΗΝΑ ΧΑΠΙΑ 1", "so CHEAP ÀÉ ÑÜ here!!"):
+        assert fails(line) == "shouting"
+    for line in ("BUY three plain words NOW.", "A B C D E.", "Я И В К О.", "Bé Aß Cé Dé and so on.", "1 2 3 4 5."):
+        assert fails(line) is None
+    rng = random.Random(5)
+    pool = ["BUY", "now", "A", "Я", "ДА", "нет", "É", "ÉT", "Aé", "wow!!", "НО!!", "!!", "1.", "99", "-", "ΑΒ", "日本", "ǅX", "XY\xa0Z"]
+    for _ in range(5000):
+        words = rng.choices(pool, k=rng.randint(3, 9))
+        loud = sum(w.endswith("!!") or (len(w) > 1 and w.isupper()) for w in words)
+        assert (fails(" ".join(words)) == "shouting") == (loud > 0.6 * len(words))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
