@@ -3,8 +3,9 @@
 Words are runs of letters, lower-cased. Their features, hashed: prefixes and suffixes of 1 to 3 bytes, all byte 2-grams
 and 3-grams of the word with its edges marked, and the word itself (the learned lexicon). Emissions and the transition
 matrix are trained together by the forward-backward gradient on a bounded sample; training chains join windows of
-different documents, so that transitions learn switches. The language of a text is the label with the largest sum of
-word marginals, its score that sum's share.
+different documents, so that transitions learn switches. Every sampled text with a word gives windows, one of under
+``window`` words a single shorter one. The language of a text is the label with the largest sum of word marginals, its
+score that sum's share.
 
 Inference runs forward-backward exactly over whole texts, all texts of a slice as one chain: where a text starts, the
 transition is the start distribution whatever came before. The chain is cut into blocks whose transfer matrices are
@@ -127,6 +128,16 @@ def marginals(emit: np.ndarray, starts: np.ndarray, transition: np.ndarray, begi
     return out.transpose(1, 0, 2).reshape(-1, size)[:n]
 
 
+def training_windows(word_text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each text's windows: every half window, the last one at the text's end."""
+    texts, first, n = np.unique(word_text, return_index=True, return_counts=True)
+    half = max(1, window // 2)
+    count = 1 + -(-np.maximum(n - window, 0) // half)
+    owner = np.repeat(np.arange(len(texts)), count)
+    step = half * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+    return first[owner] + np.minimum(step, np.maximum(n - window, 0)[owner]), np.minimum(n, window)[owner]
+
+
 def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
     """Labels, emission weights, transitions and start scores from (text, language) rows, by AdaGrad on the CRF likelihood."""
     names = sorted({y for _, y in rows})
@@ -148,13 +159,9 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
     weights, transition, begin = np.zeros((1 << s.bits, size)), np.zeros((size, size)), np.zeros(size)
     if size == 1 or not n_words:
         return {"names": names, "weights": weights, "transition": transition, "begin": begin}
-    firsts = np.arange(0, n_words - s.window + 1, s.window // 2)
-    firsts = firsts[word_text[firsts] == word_text[firsts + s.window - 1]] if n_words >= s.window else firsts[:0]
-    if not len(firsts):  # only tiny texts: every word is a window's start
-        firsts = np.arange(max(1, n_words - s.window + 1))
-    window = min(s.window, n_words)
+    firsts, lengths = training_windows(word_text, s.window)
     language = label_of[word_text[firsts]]
-    by_language = [firsts[language == k] for k in range(size)]
+    by_language = [np.flatnonzero(language == k) for k in range(size)]
     present = [k for k in range(size) if len(by_language[k])]
     rng = np.random.default_rng(s.seed)
     gw, gt, gb = np.full(weights.shape, 1e-2), np.full(transition.shape, 1e-2), np.full(size, 1e-2)
@@ -162,35 +169,40 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
         # a chain is two windows, often of two languages
         pick = rng.choice(present, (s.batch, 2))
         pick[:, 1] = np.where(rng.random(s.batch) < 0.5, pick[:, 0], pick[:, 1])
-        begin_at = np.array([[by_language[k][rng.integers(len(by_language[k]))] for k in pair] for pair in pick])
-        chain = (begin_at[:, :, None] + np.arange(window)).reshape(s.batch, -1)
+        picked = np.array([[by_language[k][rng.integers(len(by_language[k]))] for k in pair] for pair in pick])
+        begin_at, lead, total = firsts[picked], lengths[picked[:, :1]], lengths[picked].sum(1)
+        length = total.max()
+        place = np.arange(length)
+        inside = place < total[:, None]  # shorter chains are padded at their end
+        chain = np.where(inside, np.where(place < lead, begin_at[:, :1] + place, begin_at[:, 1:] + place - lead), 0)
         gold = label_of[word_text[chain]]
-        flat_chain = chain.ravel()
+        flat_chain = chain[inside]
         counts = at[flat_chain + 1] - at[flat_chain]
         rows_at = np.repeat(at[flat_chain] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         token, feature = np.repeat(np.arange(len(flat_chain)), counts), bucket[rows_at]
         emit = np.stack([np.bincount(token, weights[feature, k], len(flat_chain)) for k in range(size)], 1)
-        e = np.exp(emit - emit.max(1, keepdims=True)).reshape(*chain.shape, size)
+        e = np.ones((*chain.shape, size))
+        e[inside] = np.exp(emit - emit.max(1, keepdims=True))
         t, pi = np.exp(transition), np.exp(begin)
-        length = chain.shape[1]
+        on = inside.T[:, :, None]
         alphas, betas = np.empty((length, s.batch, size)), np.empty((length, s.batch, size))
         a = pi * e[:, 0]
         alphas[0] = a / a.sum(1, keepdims=True)
         for k in range(1, length):
             a = (alphas[k - 1] @ t) * e[:, k]
-            alphas[k] = a / a.sum(1, keepdims=True)
+            alphas[k] = np.where(on[k], a / a.sum(1, keepdims=True), alphas[k - 1])
         betas[-1] = 1 / size
         for k in range(length - 2, -1, -1):
             v = (e[:, k + 1] * betas[k + 1]) @ t.T
-            betas[k] = v / v.sum(1, keepdims=True)
+            betas[k] = np.where(on[k + 1], v / v.sum(1, keepdims=True), betas[k + 1])
         p = alphas * betas
         p /= p.sum(2, keepdims=True)
         pairs = alphas[:-1, :, :, None] * t * (e.transpose(1, 0, 2)[1:] * betas[1:])[:, :, None, :]
-        pairs /= pairs.sum((2, 3), keepdims=True)
+        pairs *= on[1:, :, :, None] / pairs.sum((2, 3), keepdims=True)
         hot = np.eye(size)[gold]
-        d = (hot - p.transpose(1, 0, 2)).reshape(-1, size) / s.batch
+        d = (hot - p.transpose(1, 0, 2))[inside] / s.batch
         seen = np.zeros((size, size))
-        np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+        np.add.at(seen, (gold[:, :-1][inside[:, 1:]], gold[:, 1:][inside[:, 1:]]), 1)
         for store, grown, g in (
             (weights, gw, np.stack([np.bincount(feature, d[token, k], 1 << s.bits) for k in range(size)], 1)),
             (transition, gt, (seen - pairs.sum((0, 1))) / s.batch),

@@ -204,6 +204,23 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) / len(rows) > 0.97
 
 
+def test_language_of_short_texts():
+    rng = random.Random(2)
+    of = {"x": "bak dorim eshte falu garno hopik jelva", "y": "the water under seven bridges flows north", "z": "quiz vox lynx jump waltz fjord nymph"}
+    text = lambda y, n: " ".join(rng.choices(of[y].split(), k=n))
+    rows = [(text("x", 12), "x") for _ in range(40)] + [(text("y", 60), "y") for _ in range(10)] + [(text("z", 1 + i % 5), "z") for i in range(9)]
+    model = language_id.fit([*rows, ("12 34", "x")], language_id.Settings(steps=30, batch=32))
+    names, score = language_id.label_texts(pa.array([t for t, _ in rows]), model, language_id.Settings().bits)
+    assert names == [y for _, y in rows] and min(score) > 0.6
+    sizes = [1, 7, 15, 16, 17, 23, 24, 25, 60]
+    word_text = np.repeat(np.arange(len(sizes)) * 2, sizes)  # texts without a word have numbers too
+    firsts, lengths = language_id.training_windows(word_text, 16)
+    covered = [i for a, n in zip(firsts, lengths, strict=True) for i in range(a, a + n)]
+    assert set(covered) == set(range(len(word_text)))
+    assert (word_text[firsts] == word_text[firsts + lengths - 1]).all()
+    assert [sorted(set(lengths[word_text[firsts] == 2 * i])) for i in range(len(sizes))] == [[min(n, 16)] for n in sizes]
+
+
 def test_crf_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     n, size = 6, 3
