@@ -2,10 +2,12 @@
 
 Line rules, in this order (a line without a word has none and is kept):
  symbols      over ``symbol_words`` of the words hold a character of [#*$%&|<>]
- navigation   two or more separators | between words, or a short line of links without sentence end
+ navigation   two or more separators | between words, or one for every two other words; or a line of at most ``link_line``
+              words without sentence end, over half of them in links (web addresses, [label](target))
  shouting     over ``loud_words`` of the words are upper case with letters, or end in !!
  repeated     ``repeat_words`` or more of the words equal the word before
- boilerplate  a phrase of cookie bars, script notices or placeholder text
+ boilerplate  a phrase of cookie bars, script notices or placeholder text in a line of at most ``notice_line`` words; a
+              longer line fails if sentences with such a phrase hold over ``notice_words`` of its words
  punctuation  fewer than ``short_words`` words and no sentence end in the line, in a document of several lines
 A document is kept if it passes the base rules and keeps over ``keep_words`` of its words. Base rules: at least 50
 words, and at most half of the words in 3-word windows that occur twice or more.
@@ -31,11 +33,12 @@ SYMBOLS = b"#*$%&|<>"
 WORD_OF_SYMBOLS = re.compile(rb"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*")
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SENTENCE_END = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]]|”|’|»)*\\s*$".encode())
+SENTENCE_BREAK = re.compile("(?<=[.!?])\\s+|(?<=。|！|？)".encode())
+LINK = re.compile(rb"\[[^\]]*\]\([^)\s]*\)|(?<!\S)[<(]*(?:https?://|www\.)\S+", re.IGNORECASE)
 BOILERPLATE = re.compile(
-    rb"lorem ipsum|enable javascript|accept (?:all )?cookies|we use cookies|cookie policy|privacy policy|terms of (?:use|service)"
-    rb"|all rights reserved|subscribe to our newsletter|click here|sign (?:in|up) to|share (?:this|on)\b",
-    re.IGNORECASE,
-)
+    rb"lorem ipsum|ut enim ad minim|duis aute irure|excepteur sint|enable javascript|accept (?:all )?cookies|we use cookies|cookie policy|privacy policy|terms of (?:use|service)"
+    rb"|all rights reserved|subscribe to our newsletter|click here|sign (?:in|up) to|share (?:this|on)\b"
+)  # of lower-cased lines: faster than re.IGNORECASE
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "kept boolean, n_lines_removed long, n_words_kept long, reason string"
@@ -50,6 +53,9 @@ class Rules:
     repeat_words: float = 0.3
     short_words: int = 3
     keep_words: float = 0.5
+    link_line: int = 20
+    notice_line: int = 40
+    notice_words: float = 0.5
 
 
 def repeated_window_words(words: list[bytes]) -> int:
@@ -83,6 +89,24 @@ def shouting(line: bytes, words: list[bytes], most: float) -> bool:
     return sum(w.endswith("!!") or (len(w) > 1 and w.isupper()) for w in map(bytes.decode, words)) > most
 
 
+def links(line: bytes, words: list[bytes]) -> bool:
+    """Whether over half of the words are in links, in a line without sentence end."""
+    if not (b"://" in line or b"](" in line or b"www." in line.lower()):  # what any link holds
+        return False
+    return 2 * len(LINK.sub(b" ", line).split()) < len(words) and not SENTENCE_END.search(line)
+
+
+def boilerplate(line: bytes, n: int, rules: Rules) -> bool:
+    """Whether a line of n words has a boilerplate phrase, or, if it is long, consists mostly of sentences that have one."""
+    line = line.lower()
+    if not BOILERPLATE.search(line):
+        return False
+    if n <= rules.notice_line:
+        return True
+    sizes = [(len(x.split()), bool(BOILERPLATE.search(x))) for x in SENTENCE_BREAK.split(line)]
+    return sum(k for k, found in sizes if found) > rules.notice_words * sum(k for k, _ in sizes)
+
+
 def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str | None:
     """The rule that the line fails, if any. alone: it is the document's only line with words."""
     n = len(words)
@@ -92,11 +116,13 @@ def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str
             return "navigation"
         if len(WORD_OF_SYMBOLS.findall(line)) > rules.symbol_words * n:
             return "symbols"
+    if n <= rules.link_line and links(line, words):
+        return "navigation"
     if n >= 3 and shouting(line, words, rules.loud_words * n):
         return "shouting"
     if n >= 4 and sum(map(bytes.__eq__, words, words[1:])) >= rules.repeat_words * n:
         return "repeated"
-    if n <= 40 and BOILERPLATE.search(line):
+    if boilerplate(line, n, rules):
         return "boilerplate"
     if not alone and n < rules.short_words and not SENTENCE_END.search(line):
         return "punctuation"

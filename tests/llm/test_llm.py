@@ -413,6 +413,28 @@ def test_quality_rules_loud_lines():
         assert (fails(" ".join(words)) == "shouting") == (loud > 0.6 * len(words))
 
 
+def test_quality_rules_notices_and_links():
+    rules = quality_rules.Rules()
+    fails = lambda line: quality_rules.line_rule(line.encode(), line.encode().split(), False, rules)
+    placeholder = (
+        "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, "
+        "quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse "
+        "cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+    )
+    notice = (
+        "We use cookies on this site to remember your choices and to count how many people read each of our pages every day. Our privacy policy says in full "
+        "which partners receive these data and how long they are stored by them. You may accept all cookies or choose which of them you would like to allow."
+    )
+    plain = " ".join(f"Here is sentence {i} of a long paragraph about rivers and bridges." for i in range(8))
+    assert len(placeholder.split()) > 40 < len(notice.split())
+    assert [fails(x) for x in (placeholder, notice, placeholder.upper().lower(), f"{plain} Read the privacy policy there.", plain)] == ["boilerplate"] * 3 + [None] * 2
+    assert not quality_rules.judge(placeholder, rules)[0]["kept"]
+    for line in ("Home https://a.example/ https://a.example/news (www.b.example)", "[Home](/) [About us](/about) [Latest news today](/news)", "HTTPS://A.EXAMPLE/ WWW.b.example/x"):
+        assert fails(line) == "navigation"
+    for line in ("See https://a.example/ for more about it", "The files are at https://a.example/ and here.", "https://a.example/ www.b.example are mirrors."):
+        assert fails(line) is None
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
