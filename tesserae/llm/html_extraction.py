@@ -6,7 +6,8 @@ and once down the tree, give each node's exact marginal of being content. Both k
 likelihood gradient (observed minus expected features under the marginals) on labelled pages (``training_pages``). Runs
 with a marginal of ``threshold`` or more are the text.
 
-Never text: script, style, template, head and form controls, comments and markup. Character references are decoded, white
+Never text: script, style, template, head, title and form controls, comments and markup. Formulas, text in drawings and
+what stands in noscript, iframe, object, canvas and players are inline text, which the model judges. Character references are decoded, white
 space inside a block becomes one space, blocks are trimmed and joined by one newline in page order.
 
 Defined cases: null html counts as empty; an empty or textless page gives an empty text; unclosed and stray tags are
@@ -33,10 +34,17 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME = re.compile(r"[a-z]+")
+XMP_END = re.compile(r"</xmp\s*>", re.IGNORECASE)
 #: Element kinds (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-SKIP = RAW | frozenset("head select option button svg math object audio video canvas datalist".split())
+RAW = frozenset("script style template textarea title".split())
+SKIP = RAW | frozenset("head select option button datalist".split())
+#: Elements of formulas and drawings, and those with text for readers that cannot show them.
+FOREIGN = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts"
+    " mtable mtr mtd semantics annotation annotation-xml svg g text textpath defs symbol use path rect circle ellipse line polyline polygon desc".split()
+)
+FALLBACK = frozenset("noscript iframe noembed noframes object audio video canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
@@ -78,7 +86,7 @@ def parse(source: str) -> list[Node]:
     stack: list[int] = [0]  # open block elements
     inline: list[str] = []  # open inline elements since the last block
     run: list[str] = []
-    state = {"links": 0, "anchors": 0}
+    state = {"links": 0, "anchors": 0, "tokens": 0}
 
     def flush() -> None:
         if run:
@@ -110,6 +118,7 @@ def parse(source: str) -> list[Node]:
         end, name, attrs, text = found.groups()
         if text is not None:
             run.append(text)
+            state["tokens"] += not text.isspace()
             if state["anchors"]:
                 state["links"] += len(text.strip())
             continue
@@ -123,6 +132,22 @@ def parse(source: str) -> list[Node]:
         if name in ("br", "wbr"):
             run.append(" " if name == "br" else "")
             continue
+        if name in FOREIGN:
+            if name in ("math", "svg"):
+                state["tokens"] = 0
+            elif not end and state["tokens"]:  # between the parts of a formula or drawing
+                run.append(" ")
+            continue
+        if name in FALLBACK:
+            run.append(" ")
+            continue
+        if name == "xmp":  # its text is no markup
+            flush()
+            done = XMP_END.search(source, at)
+            run.append(html.escape(source[at : done.start() if done else n]))
+            flush()
+            at = done.end() if done else n
+            continue
         if name in INLINE:
             if not end:
                 inline.append(name)

@@ -176,6 +176,23 @@ def test_html_real_pages(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_html_formulas_and_fallback():
+    model = html_extraction.trained()
+    inside = [
+        ("<p>The area is <math><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow></math>, as <svg viewBox='0 0 9 9'><path d='M0'/><text>shown</text><text>here</text></svg> above.</p>", "The area is a = 2, as shown here above."),
+        ("<noscript><p>This paragraph stands for readers without scripts.</p></noscript>", "This paragraph stands for readers without scripts."),
+        ("<p>It plays <video src=x><source src=y>a film of the river</video> and <object data=z>a map</object> of it.</p>", "It plays a film of the river and a map of it."),
+        ("<p>We draw <canvas>a chart of prices</canvas> and <iframe src=u>a table of wages</iframe> every year.</p>", "We draw a chart of prices and a table of wages every year."),
+        ("<p>Here <button>press</button> the last sentence ends.</p>", "Here\nthe last sentence ends."),
+        ("<p>Scripts <script>var a</script>and <style>b{}</style>styles are no text at all.</p>", "Scripts and styles are no text at all."),
+    ]
+    page = "<html><head><title>T</title><noscript>x</noscript></head><body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><h1>A title of some words</h1>{}</article></body></html>"
+    for markup, wanted in inside:
+        got = html_extraction.blocks(page.format(f"<p>First come some plain words of the article.</p>{markup}"), model)
+        assert got == ["A title of some words", "First come some plain words of the article.", *wanted.split("\n")]
+    assert [x.text for x in html_extraction.parse("<div>One<xmp>a <b> &amp; c</XMP>two</div>") if x.text] == ["One", "a <b> &amp; c", "two"]
+
+
 def test_tree_marginals_by_enumeration():
     nodes = html_extraction.parse("<div><p>a b</p><ul><li>c<li>d</ul></div>")
     rng = random.Random(2)
