@@ -85,6 +85,12 @@ def alias_window_counts(t):
     return w.groupBy("n").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("surface").alias("surfaces"))
 
 
+@query()
+def document_window_counts(t):
+    w = dictionary.token_windows(t("documents"), "doc_id", T.words(F.col("text")), [1, 2, 3])
+    return w.groupBy("n").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("surface").alias("surfaces"))
+
+
 RULES_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS surface FROM documents" for k, p in RULES.items())
 
 

@@ -2,17 +2,21 @@
 
 import itertools
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import catalog
 from tesserae.functions import articles, normalise
 from tesserae.functions import text as T
 from tesserae.operators import evaluation, events, graph, heuristics, mentions, resolution
 from tesserae.sources import files
 from tesserae.streaming import windows
 
+from tests.conftest import SF
+
 
 def test_overlaps_against_all_subsets(spark):
     r = random.Random(3)
@@ -214,3 +218,16 @@ def test_stream_deduplication(spark, tmp_path):
     spark.createDataFrame(rows, "t string, k int").select(F.col("t").cast("timestamp").alias("ts"), "k").write.parquet(str(tmp_path / "r.parquet"))
     stream = windows.file_stream(spark.read.parquet(str(tmp_path / "r.parquet")))
     assert sorted(r.k for r in windows.run_available(windows.deduplicated(stream, "k"), "append").collect()) == [1, 2]
+
+
+def test_document_window_counts_against_brute_force(spark):
+    split = re.compile(r"[^a-z0-9à-öø-ÿß]+")
+    wanted = {n: [0, set()] for n in (1, 2, 3)}
+    for row in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
+        w = [x for x in split.split((row.text or "").lower()) if x]
+        for n, found in wanted.items():
+            windows_ = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+            found[0] += len(windows_)
+            found[1].update(windows_)
+    got = {r.n: (r.windows, r.surfaces) for r in catalog.queries()["document_window_counts"](spark, SF).collect()}
+    assert got == {n: (k, len(s)) for n, (k, s) in wanted.items()}
