@@ -232,6 +232,16 @@ def graph_degree_stats(t):
     return graph.degrees(t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")))
 
 
+@query("WITH d AS (SELECT count(*) AS n FROM (SELECT l_suppkey AS node FROM lineitem UNION ALL SELECT l_partkey + 1000000 FROM lineitem) GROUP BY node) SELECT count(*) AS nodes, max(n) AS max_degree, round(avg(n), 4) AS mean_degree, quantile_disc(n, 0.95) AS p95_degree FROM d")
+def graph_degree_summary(t):
+    return graph.degree_summary(graph_degree_stats(t))
+
+
+@query(f"SELECT pack AS predicate, count(*) AS edges FROM ({EDGE_SQL}) GROUP BY ALL")
+def graph_predicate_histogram(t):
+    return order_edges(t).groupBy(F.col("pack").alias("predicate")).agg(F.count(F.lit(1)).alias("edges"))
+
+
 PAIRS_SQL = "SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL"
 
 
@@ -290,6 +300,18 @@ def impact_expand(t):
     return graph.expand_paths(impact.market_edges(t("nation"), t("customer")), t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
 
 
+@query()
+def impact_expand_customers(t):
+    regions = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return graph.expand_paths(impact.customer_edges(t("nation"), t("customer")), regions, depth=3)
+
+
+@query()
+def impact_best_paths(t):
+    regions = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return graph.best_paths(impact.customer_edges(t("nation"), t("customer")), regions, depth=3)
+
+
 @query("SELECT o_custkey AS ref, l_partkey AS node, count(DISTINCT o_orderkey) AS shared FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def identity_bridge(t):
     # an order is the identity: customers are references to it, parts are nodes that carry it

@@ -20,6 +20,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count(F.lit(1)).alias("degree_total"))
 
 
+def degree_summary(degrees: DataFrame) -> DataFrame:
+    """One row (nodes, max_degree, mean_degree, p95_degree) of node degrees; the 95th percentile is the nearest rank."""
+    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY degree_total)").cast("long")
+    mean = F.round(F.avg("degree_total"), 4)
+    return degrees.agg(F.count(F.lit(1)).alias("nodes"), F.max("degree_total").alias("max_degree"), mean.alias("mean_degree"), p95.alias("p95_degree"))
+
+
 def top_neighbors(edges: DataFrame, k: int) -> DataFrame:
     """The k strongest neighbours of each node: by weight, then id; ranked in Spark's windowed group limit."""
     w = W.partitionBy("src").orderBy(F.desc("weight"), "dst")
@@ -86,6 +93,31 @@ def expand_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: floa
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 64, most: int = 3) -> DataFrame:
+    """(node, rank, hops, confidence, path): the ``most`` best distinct paths that reach a node from any seed.
+
+    Fewer hops first, then the stronger weakest edge, then the edges (src, relation, dst) in order. Edges are limited and
+    cycles rejected as in ``expand_paths``.
+    """
+    w = W.partitionBy("src").orderBy(F.desc("confidence"), "dst", "relation")
+    strong = edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_node).select(F.struct("src", "relation", "dst").alias("step"), F.col("confidence").alias("edge"))
+    none = F.array().cast("array<struct<src:string,relation:string,dst:string>>")
+    paths = seeds.select(F.col("node").alias("at"), F.array("node").alias("seen"), none.alias("path"), F.lit(1.0).alias("confidence")).distinct()
+    levels = []
+    for h in range(1, depth + 1):
+        paths = (
+            paths.join(strong, paths["at"] == strong["step.src"]).where(~F.array_contains("seen", F.col("step.dst")))
+            .select(F.col("step.dst").alias("at"), F.concat("seen", F.array("step.dst")).alias("seen"), F.concat("path", F.array("step")).alias("path"), F.least("confidence", "edge").alias("confidence"))
+        )
+        levels.append(paths.select(F.col("at").alias("node"), F.lit(h).alias("hops"), "confidence", "path"))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    once = found.groupBy("node", "hops", "path").agg(F.max("confidence").alias("confidence"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("hops", F.desc("confidence"), "path"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most).select("node", "rank", "hops", "confidence", "path")
+
+
 def identity_bridge(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(ref, node, shared): nodes (node, key) that share an identity key with a reference (ref, key)."""
     return refs.join(nodes, "key").groupBy("ref", "node").agg(F.countDistinct("key").alias("shared"))

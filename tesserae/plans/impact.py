@@ -15,6 +15,15 @@ def market_edges(nation: DataFrame, customer: DataFrame) -> DataFrame:
     return down.unionByName(trade.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("m"), "c_mktsegment").alias("dst"), F.lit("trades").alias("relation"), "confidence"))
 
 
+def customer_edges(nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """(src, dst, relation, confidence): regions to nations, nations to their customers, customers to their segment."""
+    key = F.concat(F.lit("c"), "c_custkey")
+    down = market_edges(nation, customer).where("relation = 'contains'")
+    serves = customer.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), key.alias("dst"), F.lit("serves").alias("relation"), (0.5 + 0.01 * (F.col("c_custkey") % 40)).alias("confidence"))
+    buys = customer.select(key.alias("src"), F.concat(F.lit("m"), "c_mktsegment").alias("dst"), F.lit("buys").alias("relation"), F.lit(0.8).alias("confidence"))
+    return down.unionByName(serves).unionByName(buys)
+
+
 def analyze(docs: DataFrame, aliases: DataFrame, edges: DataFrame, signals: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, node, signals, confidence): for documents with a mention and a signal, what their entity's seed reaches.
 

@@ -231,3 +231,39 @@ def test_document_window_counts_against_brute_force(spark):
             found[1].update(windows_)
     got = {r.n: (r.windows, r.surfaces) for r in catalog.queries()["document_window_counts"](spark, SF).collect()}
     assert got == {n: (k, len(s)) for n, (k, s) in wanted.items()}
+
+
+def test_degree_summary(spark):
+    r = random.Random(4)
+    for n in (1, 19, 20, 21, 100, 137):
+        degrees = sorted(r.randint(1, 40) for _ in range(n))
+        got = graph.degree_summary(spark.createDataFrame([(d,) for d in degrees], "degree_total long")).first()
+        assert tuple(got) == (n, degrees[-1], pytest.approx(sum(degrees) / n, abs=1e-4), degrees[-(-95 * n // 100) - 1])
+
+
+def test_customer_expansion_against_brute_force(spark):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    edges = [(f"r{x.n_regionkey}", "contains", f"n{x.n_nationkey}", 0.9) for x in read("nation").collect()]
+    for x in read("customer").collect():
+        edges += [(f"n{x.c_nationkey}", "serves", f"c{x.c_custkey}", 0.5 + 0.01 * (x.c_custkey % 40)), (f"c{x.c_custkey}", "buys", f"m{x.c_mktsegment}", 0.8)]
+    out = {}
+    for e in sorted(edges, key=lambda e: (-e[3], e[2], e[1])):
+        if len(out.setdefault(e[0], [])) < 64:
+            out[e[0]].append(e)
+    regions = {f"r{x.r_regionkey}" for x in read("region").collect()}
+    paths, level = [], [((e,), e[3]) for r in regions for e in out.get(r, [])]
+    while level:
+        paths += level
+        level = [((*p, e), min(c, e[3])) for p, c in level if len(p) < 3 for e in out.get(p[-1][2], [])]
+    best, by_node = {}, {}
+    for p, c in paths:
+        key = (p[0][0], p[-1][2])
+        best[key] = max(best.get(key, (0, 0)), (round(c * 0.9 ** (len(p) - 1), 6), -len(p)))
+        by_node.setdefault(p[-1][2], []).append((len(p), -c, tuple(e[:3] for e in p)))
+    wanted = set()
+    for seed in regions:
+        reached = sorted((-c, -h, node) for (s, node), (c, h) in best.items() if s == seed)
+        wanted |= {(seed, node, h, -c, k + 1) for k, (c, h, node) in enumerate(reached[:25])}
+    assert {(x.seed, x.node, x.hops, x.confidence, x["rank"]) for x in catalog.queries()["impact_expand_customers"](spark, SF).collect()} == wanted
+    got = {(x.node, x["rank"]): (x.hops, -x.confidence, tuple(map(tuple, x.path))) for x in catalog.queries()["impact_best_paths"](spark, SF).collect()}
+    assert got == {(node, k + 1): p for node, found in by_node.items() for k, p in enumerate(sorted(found)[:3])}
