@@ -2,6 +2,7 @@
 
 1. Each partition encodes its documents, cuts only those longer than ``capacity`` (full pieces; the first may be
    shorter), and packs its pieces by best fit, the longest first. Bins with at most ``slack`` free places are emitted.
+   A task holds at most about ``held`` pieces: beyond that it packs and emits, and its underfull bins are pieces again.
 2. The underfull bins are the items of the next round: bins of ``fan_in`` neighbouring groups meet in one group and are
    packed by best fit again. Nearly full bins are emitted, the others go up the tree, until one group is left.
 
@@ -16,12 +17,13 @@ repeated rows are packed each for itself; extra columns are left out; an empty t
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import inputs, scratch
+from tesserae.llm.token_counts import safe_segments
 
+#: Characters of a text that one call of the encoder gets, about.
+SEGMENT = 50_000
 SEQUENCE = (
     "grp long, bin_no long, fill int, emitted boolean, "
     "doc_id array<long>, piece array<int>, start array<long>, length array<int>, ids_crc32 array<long>"
@@ -46,8 +51,9 @@ ARROW = pa.schema([
 def encoder(json_path: str):
     """ids of a text exactly as ``Tokenizer.from_file(json_path).encode(text, add_special_tokens=False)`` gives them.
 
-    Where the folder holds the same vocabulary as ranks, its several times faster encoder does ordinary text (the same
-    pre-split pattern and merges; tests compare the two on whole tables), and special strings become their ids here.
+    Texts go in segments cut where the pre-split always cuts (``safe_segments``). A several times faster encoder, made
+    of the same file's merges, does each of them; special strings become their ids here. A segment that holds no such
+    place for over two limits, such as a run of a million blanks, goes to the library itself.
     """
     from tokenizers import Tokenizer
 
@@ -55,18 +61,35 @@ def encoder(json_path: str):
     library = Tokenizer.from_file(json_path)
     library.no_truncation()
     library.no_padding()
-    ranks_path = json_path.removesuffix(".json") + ".tiktoken"
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    if not os.path.exists(ranks_path):
-        return lambda text: library.encode(text, add_special_tokens=False).ids
+
+    def slow(text: str) -> list[int]:
+        return library.encode(text, add_special_tokens=False).ids
+
+    fast = fast_encoder(json_path) or slow
+
+    def encode(text: str) -> np.ndarray:
+        parts = [(fast if len(part) <= 2 * SEGMENT else slow)(part) for part in safe_segments(text, SEGMENT)]
+        return np.concatenate([np.array(x, "<u4") for x in parts])
+
+    return encode
+
+
+def fast_encoder(json_path: str):
+    """A function from texts to ids by the file's merges, or None where their order is not that of their ids."""
     import tiktoken
 
-    from tesserae.llm.bpe_automaton import PRE_SPLIT
+    from tesserae.llm.bpe_automaton import byte_characters, PRE_SPLIT
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: fast.encode(text, allowed_special="all")
+    with open(json_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, of = spec["model"]["vocab"], byte_characters()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if any(a >= b for a, b in pairwise(made)):
+        return None
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    ranks = {bytes(of[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+    coder = tiktoken.Encoding("byte_bpe", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: coder.encode(text, allowed_special="all")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -117,26 +140,39 @@ def batches_of(group: int, bins: list[list], emitted: list[bool], rows: int = 20
         )
 
 
-def pack_sequences(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, slack: int = 8, fan_in: int = 8, carry: int = 2048) -> DataFrame:
+def pack_sequences(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, slack: int = 8, fan_in: int = 8, carry: int = 2048, held: int = 100_000) -> DataFrame:
     """The sequences: one row a bin, with its pieces in order (arrays doc_id, piece, start, length, ids_crc32)."""
     spark = docs.sparkSession
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, encode, items, full = TaskContext.get().partitionId(), encoder(path), [], 0
+        group, encode, items, done, made = TaskContext.get().partitionId(), encoder(path), [], [], 0
+
+        def written(bins: list[list], emitted: list[bool]) -> Iterator[pa.RecordBatch]:
+            # bins emitted before the end get numbers of their own below zero
+            nonlocal made
+            for out in batches_of(group, bins, emitted):
+                yield out.set_column(1, "bin_no", pa.array(range(-1 - made, -1 - made - out.num_rows, -1), pa.int64()))
+                made += out.num_rows
+
         for batch in batches:
-            done = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], np.dtype("<u4"))
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     piece = (doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()))
                     if length == capacity:
                         done.append([capacity, [[piece]]])
                     else:
                         items.append((length, [piece]))
-            for out in batches_of(group, done, [True] * len(done)):
-                # bins that are full from the start get numbers of their own below zero
-                yield out.set_column(1, "bin_no", pa.array(range(-1 - full, -1 - full - out.num_rows, -1), pa.int64()))
-                full += out.num_rows
+                    if len(done) >= 2000:
+                        yield from written(done, [True] * len(done))
+                        done = []
+            if len(items) >= held:  # pack what is held; the underfull bins are items again
+                bins = best_fit(items, capacity)
+                now = judged(bins, capacity, slack, carry, False)
+                closed = [b for b, e in zip(bins, now, strict=True) if e]
+                yield from written(closed, [True] * len(closed))
+                items = [(fill, [x for p in payloads for x in p]) for (fill, payloads), e in zip(bins, now, strict=True) if not e]
+        yield from written(done, [True] * len(done))
         bins = best_fit(items, capacity)
         yield from batches_of(group, bins, judged(bins, capacity, slack, carry, False))
 
