@@ -9,17 +9,23 @@ score that sum's share.
 
 Inference runs forward-backward exactly over whole texts, all texts of a slice as one chain: where a text starts, the
 transition is the start distribution whatever came before. The chain is cut into blocks whose transfer matrices are
-multiplied for all blocks at once, so a text of millions of words costs no long Python loop.
+multiplied for all blocks at once, so a text of millions of words costs no long Python loop. A slice longer than about a
+megabyte, or one of more words than the number of languages allows, is read in parts, twice: the first pass leaves each
+part's transfer matrix, the second computes marginals between what the parts before and after pass on. So features and
+emissions are held for one part only, and the result is that of one chain.
 
 Defined cases: a null text, an empty one and one without a letter give `und` with score 0; without any training row too;
-repeated rows give repeated rows; extra columns are left out.
+a run of letters of over ``WORD_BYTES`` bytes counts as several words; repeated rows give repeated rows; extra columns are
+left out.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import flat, IDENTITY, inputs, LETTERLIKE, mixed, remainder, slices, TABULATION, Words
+from tesserae.llm.common import flat, IDENTITY, inputs, LETTERLIKE, mixed, remainder, slices, TABULATION, whole_texts, Words
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -40,10 +46,71 @@ class Settings:
     batch: int = 192
     rate: float = 0.5
     seed: int = 11
-    #: Bounds of the fitting sample: documents (dealt evenly over the languages), languages, characters of each document.
+    #: Bounds of the fitting sample, dealt evenly over all languages: documents, and the characters of all of them. Every
+    #: language has one document at least; texts are never cut.
     rows: int = 2400
-    languages: int = 200
-    max_chars: int = 2000
+    chars: int = 6_000_000
+
+
+#: Bytes of a text that features are held for at a time, and of the longest word.
+PART_BYTES = 1 << 20
+WORD_BYTES = 1024
+#: Words of a block of the chain, and numbers that all blocks' transfer matrices may hold.
+BLOCK = 64
+CELLS = 1 << 22
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The runs of letters; one that is longer than ``WORD_BYTES`` as several words."""
+    words = Words(data, offsets, LETTERLIKE)
+    count = -(-(words.end - words.start) // WORD_BYTES)
+    if len(words) and count.max() > 1:
+        step = WORD_BYTES * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        end = np.repeat(words.end, count)
+        words.start = np.repeat(words.start, count) + step
+        words.end = np.minimum(end, words.start + WORD_BYTES)
+        words.text = np.repeat(words.text, count)
+    return words
+
+
+def some_words(words: Words, first: int, last: int) -> Words:
+    """Words ``first`` to ``last`` of a slice, with the bytes between them."""
+    last = min(last, len(words))
+    if first == 0 and last == len(words):
+        return words
+    part = copy.copy(words)
+    a, b = words.start[first], words.end[last - 1]
+    part.data, part.inside = words.data[a:b], words.inside[a:b]
+    part.start, part.end, part.text = words.start[first:last] - a, words.end[first:last] - a, words.text[first:last]
+    return part
+
+
+def text_parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[Words, np.ndarray]]:
+    """(words, whether each begins a text) of a slice in order, at most ``most`` words at a time.
+
+    A slice of several texts has at most about ``PART_BYTES``; a longer one is a single text and cut after a word.
+    """
+    at, before = 0, -1
+    while at < len(data):
+        end = len(data)
+        if len(offsets) == 2 and end - at > PART_BYTES:
+            end = at + PART_BYTES
+            while end < len(data):
+                gap = np.flatnonzero(~LETTERLIKE[data[end : end + 4096]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(len(data), end + 4096)
+        words = words_of(data[at:end], offsets if end - at == len(data) else np.array([0, end - at]))
+        first = 0
+        while first < len(words):
+            within = int(np.searchsorted(words.start, words.start[first] + 2 * PART_BYTES))
+            part = some_words(words, first, min(first + most, within))
+            first += len(part)
+            begins = np.diff(part.text, prepend=before) != 0
+            before = part.text[-1]
+            yield part, begins
+        at = end
 
 
 def lowered(column: pa.Array) -> pa.Array:
@@ -91,41 +158,71 @@ def emissions(words: Words, weights: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([np.bincount(owner, weights[bucket, k], len(words)) for k in range(weights.shape[1])], 1)
 
 
-def marginals(emit: np.ndarray, starts: np.ndarray, transition: np.ndarray, begin: np.ndarray, block: int = 64) -> np.ndarray:
-    """Word marginals [n, L] by forward-backward over a chain that begins anew wherever ``starts`` is true."""
-    n, size = emit.shape
-    blocks = -(-n // block)
-    e = np.ones((blocks * block, size))
-    e[:n] = np.exp(emit - emit.max(1, keepdims=True))
-    begins = np.ones(blocks * block, bool)  # the padding starts anew: it tells nothing about the words before
-    begins[:n] = starts
-    e, begins = e.reshape(blocks, block, size), begins.reshape(blocks, block)
-    t, pi = np.exp(transition), np.exp(begin - begin.max())
-    matrix = lambda k: np.where(begins[:, k, None, None], pi[None, None, :], t[None]) * e[:, k, None, :]
-    # transfer matrix of each block
-    product = np.broadcast_to(np.eye(size), (blocks, size, size))
-    for k in range(block):
-        product = product @ matrix(k)
-        product = product / product.sum((1, 2), keepdims=True)
-    ahead, back = np.ones((blocks, size)) / size, np.ones((blocks, size)) / size
-    for b in range(1, blocks):
-        v = ahead[b - 1] @ product[b - 1]
-        ahead[b] = v / v.sum()
-    for b in range(blocks - 2, -1, -1):
-        v = product[b + 1] @ back[b + 1]
-        back[b] = v / v.sum()
-    alphas, alpha = np.empty((block, blocks, size)), ahead
-    for k in range(block):
-        moved = np.where(begins[:, k, None], alpha.sum(1, keepdims=True) * pi, alpha @ t) * e[:, k]
-        alpha = alphas[k] = moved / moved.sum(1, keepdims=True)
-    out, beta = np.empty((block, blocks, size)), back
-    for k in range(block - 1, -1, -1):
-        both = alphas[k] * beta
-        out[k] = both / both.sum(1, keepdims=True)
-        step = e[:, k] * beta
-        beta = np.where(begins[:, k, None], (step @ pi)[:, None], step @ t.T)
-        beta = beta / beta.sum(1, keepdims=True)
-    return out.transpose(1, 0, 2).reshape(-1, size)[:n]
+class Chain:
+    """Forward-backward over a chain of words that begins anew wherever ``starts`` is true, in blocks of ``block`` words.
+
+    Words that fill up the last block pass everything through unchanged.
+    """
+
+    def __init__(self, emit: np.ndarray, starts: np.ndarray, transition: np.ndarray, begin: np.ndarray, block: int = BLOCK) -> None:
+        self.n, self.size = emit.shape
+        self.block, self.blocks = block, -(-self.n // block)
+        self.filled = self.n - (self.blocks - 1) * block  # words of the last block
+        e = np.ones((self.blocks * block, self.size))
+        e[: self.n] = np.exp(emit - emit.max(1, keepdims=True))
+        begins = np.zeros(self.blocks * block, bool)
+        begins[: self.n] = starts
+        self.e, self.begins = e.reshape(self.blocks, block, self.size), begins.reshape(self.blocks, block)
+        self.t, self.pi = np.exp(transition), np.exp(begin - begin.max())
+        self.products = np.broadcast_to(np.eye(self.size), (self.blocks, self.size, self.size))
+        for k in range(block):
+            step = np.where(self.begins[:, k, None, None], self.pi[None, None, :], self.t[None]) * self.e[:, k, None, :]
+            if k >= self.filled:
+                step[-1] = np.eye(self.size)
+            self.products = self.products @ step
+            self.products = self.products / self.products.sum((1, 2), keepdims=True)
+
+    def transfer(self) -> np.ndarray:
+        """The product of the whole chain's matrices, scaled."""
+        total = np.eye(self.size)
+        for p in self.products:
+            total = total @ p
+            total = total / total.sum()
+        return total
+
+    def marginals(self, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+        """Word marginals [n, labels], between the forward message before and the backward message after the chain."""
+        blocks, block, size, e, t, pi = self.blocks, self.block, self.size, self.e, self.t, self.pi
+        ahead, back = np.ones((blocks, size)) / size, np.ones((blocks, size)) / size
+        ahead[0] = ahead[0] if enter is None else enter
+        back[-1] = back[-1] if leave is None else leave
+        for b in range(1, blocks):
+            v = ahead[b - 1] @ self.products[b - 1]
+            ahead[b] = v / v.sum()
+        for b in range(blocks - 2, -1, -1):
+            v = self.products[b + 1] @ back[b + 1]
+            back[b] = v / v.sum()
+        alphas, alpha = np.empty((block, blocks, size)), ahead
+        for k in range(block):
+            moved = np.where(self.begins[:, k, None], alpha.sum(1, keepdims=True) * pi, alpha @ t) * e[:, k]
+            if k >= self.filled:
+                moved[-1] = alpha[-1]
+            alpha = alphas[k] = moved / moved.sum(1, keepdims=True)
+        out, beta = np.empty((block, blocks, size)), back
+        for k in range(block - 1, -1, -1):
+            both = alphas[k] * beta
+            out[k] = both / both.sum(1, keepdims=True)
+            step = e[:, k] * beta
+            moved = np.where(self.begins[:, k, None], (step @ pi)[:, None], step @ t.T)
+            if k >= self.filled:
+                moved[-1] = beta[-1]
+            beta = moved / moved.sum(1, keepdims=True)
+        return out.transpose(1, 0, 2).reshape(-1, size)[: self.n]
+
+
+def marginals(emit: np.ndarray, starts: np.ndarray, transition: np.ndarray, begin: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Word marginals [n, labels] of one chain."""
+    return Chain(emit, starts, transition, begin, block).marginals()
 
 
 def training_windows(word_text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +243,7 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
     size = len(names)
     text_of, sizes, features = [], [], []
     for begin in range(0, len(rows), 64):
-        words = Words(*flat(lowered(pa.array([t for t, _ in rows[begin : begin + 64]], pa.string()))), LETTERLIKE)
+        words = words_of(*flat(lowered(pa.array([t for t, _ in rows[begin : begin + 64]], pa.string()))))
         owner, bucket_ = word_features(words, s.bits)
         features.append(bucket_[np.argsort(owner, kind="stable")].astype(np.int32))
         sizes.append(np.bincount(owner, minlength=len(words)))
@@ -160,16 +257,17 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
     if size == 1 or not n_words:
         return {"names": names, "weights": weights, "transition": transition, "begin": begin}
     firsts, lengths = training_windows(word_text, s.window)
-    language = label_of[word_text[firsts]]
-    by_language = [np.flatnonzero(language == k) for k in range(size)]
+    texts, first_window, n_windows = np.unique(word_text[firsts], return_index=True, return_counts=True)
+    by_language = [np.flatnonzero(label_of[texts] == k) for k in range(size)]
     present = [k for k in range(size) if len(by_language[k])]
     rng = np.random.default_rng(s.seed)
     gw, gt, gb = np.full(weights.shape, 1e-2), np.full(transition.shape, 1e-2), np.full(size, 1e-2)
     for _ in range(s.steps):
-        # a chain is two windows, often of two languages
+        # a chain is two windows, often of two languages; a window is drawn from a text drawn from its language
         pick = rng.choice(present, (s.batch, 2))
         pick[:, 1] = np.where(rng.random(s.batch) < 0.5, pick[:, 0], pick[:, 1])
-        picked = np.array([[by_language[k][rng.integers(len(by_language[k]))] for k in pair] for pair in pick])
+        drawn = np.array([[by_language[k][rng.integers(len(by_language[k]))] for k in pair] for pair in pick])
+        picked = first_window[drawn] + rng.integers(n_windows[drawn])
         begin_at, lead, total = firsts[picked], lengths[picked[:, :1]], lengths[picked].sum(1)
         length = total.max()
         place = np.arange(length)
@@ -216,20 +314,40 @@ def fit(rows: list[tuple[str, str]], s: Settings) -> dict | None:
 def label_texts(column: pa.Array, model: dict | None, bits: int) -> tuple[list[str], np.ndarray]:
     """The language and score of each text (no nulls)."""
     n = len(column)
-    words = Words(*flat(lowered(column)), LETTERLIKE)
-    if model is None or not len(words):
+    if model is None:
         return ["und"] * n, np.zeros(n)
-    starts = np.ones(len(words), bool)
-    starts[1:] = words.text[1:] != words.text[:-1]
-    p = marginals(emissions(words, model["weights"], bits), starts, model["transition"], model["begin"])
-    total = np.stack([np.bincount(words.text, p[:, k], n) for k in range(p.shape[1])], 1)
+    size = len(model["names"])
+    data, offsets = flat(lowered(column))
+    most = BLOCK * max(1, CELLS // size**2)
+    total, ascii_letter = np.zeros((n, size)), np.zeros(n, bool)
+
+    def chain(words: Words, begins: np.ndarray) -> Chain:
+        return Chain(emissions(words, model["weights"], bits), begins, model["transition"], model["begin"])
+
+    def add(words: Words, p: np.ndarray) -> None:
+        total[:] += np.stack([np.bincount(words.text, p[:, k], n) for k in range(size)], 1)
+        has = words.sums(((words.data | 32) >= 97) & ((words.data | 32) <= 122)) > 0
+        ascii_letter[words.text[has]] = True
+
+    parts = list(islice(text_parts(data, offsets, most), 2))
+    if len(parts) == 1:
+        add(parts[0][0], chain(*parts[0]).marginals())
+    elif parts:
+        del parts
+        passed = [chain(*part).transfer() for part in text_parts(data, offsets, most)]
+        leave = [np.ones(size) / size]
+        for t in reversed(passed[1:]):
+            v = t @ leave[-1]
+            leave.append(v / v.sum())
+        enter = np.ones(size) / size
+        for part in text_parts(data, offsets, most):
+            add(part[0], chain(*part).marginals(enter, leave.pop()))
+            enter = enter @ passed.pop(0)
+            enter = enter / enter.sum()
     best = total.argmax(1)
     score = total[np.arange(n), best] / np.maximum(total.sum(1), 1e-12)
     names = [model["names"][k] for k in best]
     # texts whose only "letters" are bytes of other characters
-    ascii_letter = np.zeros(n, bool)
-    has = words.sums(((words.data | 32) >= 97) & ((words.data | 32) <= 122)) > 0
-    ascii_letter[words.text[has]] = True
     for i in np.flatnonzero(~ascii_letter):
         if not any(map(str.isalpha, column[i].as_py())):
             names[i], score[i] = "und", 0.0
@@ -237,24 +355,24 @@ def label_texts(column: pa.Array, model: dict | None, bits: int) -> tuple[list[s
 
 
 def training_rows(docs: DataFrame, s: Settings, buckets: int, held: int) -> list[tuple[str, str]]:
-    """Up to ``rows`` texts, evenly of the ``languages`` most frequent languages, chosen by hash among rows not held out.
+    """Up to ``rows`` whole texts, evenly of all languages, chosen by hash among rows not held out.
 
-    Rows are thinned by hash where they are read, so a language with a third of all rows never meets in one task.
+    Rows are thinned by hash where they are read, so a language with a third of all rows never meets in one task. The
+    table of languages is collected: a column of languages has few values.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", buckets) != held))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    usable = docs.select("lang", "doc_id", "text").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", buckets) != held)
+    )
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return []
-    each = max(1, s.rows // len(counts))
-    # each language is thinned by hash to about twice its share, then cut exactly on the driver
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * each / r["count"])))])
+    each, chars = max(1, s.rows // len(counts)), s.chars // len(counts)
+    # each language is thinned by hash to about twice its share and some, then cut exactly on the driver
+    share = pa.table({"lang": [r["lang"] for r in counts], "share": [min(1.0, (2.0 * each + 20) / r["count"]) for r in counts]})
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    cut = F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {s.max_chars})) as int), {s.max_chars})")
-    found = usable.where(draw < share[F.col("lang")]).select("lang", "doc_id", F.when(F.length("text") <= s.max_chars, F.col("text")).otherwise(cut).alias("text"))
-    by: dict[str, list] = {}
-    for lang, doc_id, text in zip(*found.toArrow().to_pydict().values(), strict=True):
-        by.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), doc_id, text))
-    return [(text, lang) for lang in sorted(by) for _, _, text in sorted(by[lang])[:each]]
+    found = usable.join(docs.sparkSession.createDataFrame(share), "lang").where(draw < F.col("share"))
+    found = found.groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
+    return [(text, lang) for _, lang, text in whole_texts(found, ["doc_id", "lang"], each, chars, "lang")]
 
 
 def identify(docs: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2) -> DataFrame:
@@ -263,7 +381,7 @@ def identify(docs: DataFrame, settings: Settings | None = None, buckets: int = 4
     model = fit(training_rows(docs, s, buckets, held), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 1 << 20):
+        for batch, texts in slices(batches, "text", PART_BYTES):
             names, score = label_texts(texts, model, s.bits)
             out = [None if i is None else zlib.crc32(str(i).encode()) % buckets == held for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
