@@ -11,8 +11,8 @@ what stands in noscript, iframe, object, canvas and players are inline text, whi
 space inside a block becomes one space, blocks are trimmed and joined by one newline in page order.
 
 Defined cases: null html counts as empty; an empty or textless page gives an empty text; unclosed and stray tags are
-repaired as browsers do for paragraphs, list items and table parts; very long and very deep pages are parsed without
-recursion; repeated rows give repeated rows; extra columns are left out.
+repaired as browsers do for paragraphs, list items and table parts; a tag with a value that is never closed ends at its
+first ">"; very long, deep and broken pages are parsed without recursion, in time proportional to them; repeated rows give repeated rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,10 +31,16 @@ from tesserae.llm.common import slices, small_batches
 from tesserae.llm.html_training import training_pages
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+VALUE_OR_END = re.compile(r"[>=]")
+QUOTE = re.compile(r"[ \t\n\r\f]*+([\"'])")
+UNQUOTED = re.compile(r"[ \t\n\r\f]*+[^\s>]*+")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+#: Values of one tag that are looked at to find its end; a tag with more of them ends at its first ">".
+MOST_VALUES = 256
+#: References to numbers that no character has.
+HUGE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 NAME = re.compile(r"[a-z]+")
-XMP_END = re.compile(r"</xmp\s*>", re.IGNORECASE)
 #: Element kinds (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title".split())
@@ -80,105 +86,172 @@ class Node:
         self.tag, self.parent, self.attrs, self.text, self.links, self.depth = tag, parent, attrs, text, links, depth
 
 
-def parse(source: str) -> list[Node]:
-    """The nodes in page order, parents first: block elements, and runs of inline text (tag '#')."""
-    nodes = [Node("#root", -1, "")]
-    stack: list[int] = [0]  # open block elements
-    inline: list[str] = []  # open inline elements since the last block
-    run: list[str] = []
-    state = {"links": 0, "anchors": 0, "tokens": 0}
-
-    def flush() -> None:
-        if run:
-            text = " ".join(html.unescape("".join(run)).split())
-            if text:
-                top = nodes[stack[-1]]
-                nodes.append(Node("#", stack[-1], "", text, min(state["links"], len(text)), top.depth + 1))
-            run.clear()
-        state["links"] = 0
-
-    def close(names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                flush()
-                del stack[k:]
-                inline.clear()
-                state["anchors"] = 0
-                return
-            if tag in stop:
-                return
-
-    at, n = 0, len(source)
-    while at < n:
-        found = TOKEN.match(source, at)
+def tag_end(source: str, at: int) -> tuple[int, bool]:
+    """Where the tag whose name ends at ``at`` ends, and whether its values are closed. Some ">" must follow.
+
+    A ">" within a quoted value does not end a tag. If a quoted value is never closed the tag ends at its first ">".
+    """
+    i = at
+    for _ in range(MOST_VALUES):
+        found = VALUE_OR_END.search(source, i)
         if not found:
             break
-        at = found.end()
-        end, name, attrs, text = found.groups()
-        if text is not None:
-            run.append(text)
-            state["tokens"] += not text.isspace()
-            if state["anchors"]:
-                state["links"] += len(text.strip())
-            continue
-        if name is None:
-            continue
-        name = name.lower()
-        if not end and name in RAW:
-            done = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-            at = done.end() if done else n
-            continue
+        i = found.end()
+        if found.group() == ">":
+            return i, True
+        quote = QUOTE.match(source, i)
+        if quote:
+            close = source.find(quote[1], quote.end())
+            if close < 0:
+                break
+            i = close + 1
+        else:
+            i = UNQUOTED.match(source, i).end()
+    return source.index(">", at) + 1, False
+
+
+class Parser:
+    """Builds the nodes of a page. The work is in proportion to the page: open elements are found by name, not searched."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.nodes = [Node("#root", -1, "")]
+        self.stack = [0]  # open block elements
+        self.opened: dict[str, list[int]] = {}  # places in the stack, by name
+        self.inline: dict[str, int] = {}  # open inline elements since the last block
+        self.run: list[str] = []
+        self.links = self.anchors = self.tokens = 0
+
+    def flush(self) -> None:
+        if self.run:
+            text = " ".join(html.unescape(HUGE.sub("\ufffd", "".join(self.run))).split())
+            if text:
+                top = self.stack[-1]
+                self.nodes.append(Node("#", top, "", text, min(self.links, len(text)), self.nodes[top].depth + 1))
+            self.run.clear()
+        self.links = 0
+
+    def text(self, text: str) -> None:
+        self.run.append(text)
+        self.tokens += not text.isspace()
+        if self.anchors:
+            self.links += len(text.strip())
+
+    def close(self, names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of ``names`` with all inside it, unless one of ``stop`` is open inside it."""
+        opened = self.opened
+        k = max((opened[x][-1] for x in names if opened.get(x)), default=-1)
+        if k < 0 or max((opened[x][-1] for x in stop if opened.get(x)), default=-1) > k:
+            return
+        self.flush()
+        for i in self.stack[k:]:
+            opened[self.nodes[i].tag].pop()
+        del self.stack[k:]
+        self.inline.clear()
+        self.anchors = 0
+
+    def open(self, name: str, attrs: str) -> None:
+        self.flush()
+        self.nodes.append(Node(name, self.stack[-1], attrs, depth=self.nodes[self.stack[-1]].depth + 1))
+        self.opened.setdefault(name, []).append(len(self.stack))
+        self.stack.append(len(self.nodes) - 1)
+
+    def parse(self) -> list[Node]:
+        source, n = self.source, len(self.source)
+        last = source.rfind(">")
+        at = 0
+        while at < n:
+            mark = source.find("<", at)
+            if mark < 0 or mark > last:  # no tag ends from here on
+                self.text(source[at:])
+                break
+            if mark > at:
+                self.text(source[at:mark])
+            if source.startswith("<!--", mark):
+                end = source.find("-->", mark + 2)
+                at = end + 3 if end >= 0 else n
+                continue
+            if source.startswith(("<!", "<?"), mark):
+                at = source.index(">", mark) + 1
+                continue
+            found = TAG.match(source, mark + 1)
+            if not found:
+                self.text("<")
+                at = mark + 1
+                continue
+            at, closed = tag_end(source, found.end())
+            name = found[2].lower()
+            if found[1]:
+                self.end_tag(name)
+            else:
+                at = self.start_tag(name, source[found.end() : at - 1] if closed else "", at)
+        self.flush()
+        return self.nodes
+
+    def raw_end(self, name: str, at: int) -> re.Match | None:
+        return re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(self.source, at)
+
+    def between(self, name: str, end: bool) -> bool:
+        """Tags that stand in a run of text and leave at most a space there."""
         if name in ("br", "wbr"):
-            run.append(" " if name == "br" else "")
-            continue
-        if name in FOREIGN:
+            self.run.append(" " if name == "br" else "")
+        elif name in FOREIGN:
             if name in ("math", "svg"):
-                state["tokens"] = 0
-            elif not end and state["tokens"]:  # between the parts of a formula or drawing
-                run.append(" ")
-            continue
-        if name in FALLBACK:
-            run.append(" ")
-            continue
+                self.tokens = 0
+            elif not end and self.tokens:  # between the parts of a formula or drawing
+                self.run.append(" ")
+        elif name in FALLBACK:
+            self.run.append(" ")
+        else:
+            return False
+        return True
+
+    def end_tag(self, name: str) -> None:
+        if self.between(name, True):
+            return
+        if name in INLINE:
+            if self.inline.get(name):
+                self.inline[name] -= 1
+                self.anchors -= name == "a"
+        elif name not in VOID:
+            self.close({name})
+
+    def start_tag(self, name: str, attrs: str, at: int) -> int:
+        """Opens an element; returns where the page goes on."""
+        if name in RAW:
+            done = self.raw_end(name, at)
+            return done.end() if done else len(self.source)
+        if self.between(name, False):
+            return at
         if name == "xmp":  # its text is no markup
-            flush()
-            done = XMP_END.search(source, at)
-            run.append(html.escape(source[at : done.start() if done else n]))
-            flush()
-            at = done.end() if done else n
-            continue
+            self.flush()
+            done = self.raw_end(name, at)
+            self.run.append(html.escape(self.source[at : done.start() if done else len(self.source)]))
+            self.flush()
+            return done.end() if done else len(self.source)
         if name in INLINE:
-            if not end:
-                inline.append(name)
-                state["anchors"] += name == "a"
-            elif name in inline:
-                del inline[len(inline) - 1 - inline[::-1].index(name)]
-                state["anchors"] -= name == "a"
-            continue
-        if end:
-            if name == "p" or name not in VOID:
-                close({name}, frozenset())
-            continue
+            self.inline[name] = self.inline.get(name, 0) + 1
+            self.anchors += name == "a"
+            return at
         if name in VOID:
             if name == "hr":
-                flush()
+                self.flush()
             else:
-                run.append(" ")
-            continue
-        if name in ("html", "body"):
-            flush()
-            if name == "body":
-                close({"head"}, frozenset())
+                self.run.append(" ")
+            return at
+        if name == "body":
+            self.close({"head"})
         if name in CLOSES_P:
-            close({"p"}, SCOPE - {"p"})
+            self.close({"p"}, SCOPE)
         if name in SAME_END:
-            close(SAME_END[name], SCOPE - SAME_END[name])
-        flush()
-        nodes.append(Node(name, stack[-1], attrs, depth=nodes[stack[-1]].depth + 1))
-        stack.append(len(nodes) - 1)
-    flush()
-    return nodes
+            self.close(SAME_END[name], SCOPE - SAME_END[name])
+        self.open(name, attrs)
+        return at
+
+
+def parse(source: str) -> list[Node]:
+    """The nodes in page order, parents first: block elements, and runs of inline text (tag '#')."""
+    return Parser(source).parse()
 
 
 def hints(attrs: str) -> set[str]:
@@ -195,38 +268,68 @@ KINDS = {t: k for k, group in enumerate((("#",), ("#root", "html", "body"), ("ar
 N_KINDS = 14
 
 
-def features_of(nodes: list[Node]) -> list[list[str]]:
-    """The names of each node's features; a leaf has those of its run of text, an element those of its tag and names."""
+#: Elements that say which part of a page they hold, and single blocks, whose names in class and id say little.
+REGIONS = {"article": "main", "main": "main", "nav": "menu", "menu": "menu", "header": "top", "footer": "foot", "aside": "side", "form": "form"}
+LINES = frozenset("p li dt dd td th tr tbody thead h1 h2 h3 h4 h5 h6 figcaption caption figure blockquote pre address summary table".split())
+
+
+def features_of(nodes: list[Node]) -> Iterator[list[str]]:
+    """The names of each node's features, node by node; a leaf has those of its run of text, an element those of its tag and names.
+
+    Both have the region of the page that they stand in (the nearest element that names one, and whether it lies within
+    the main part) and their place: before or after the first main heading, and after the last longer sentence.
+    """
     n = len(nodes)
     length, linked = [0] * n, [0] * n
+    heading = tail = -1
     for i in range(n - 1, 0, -1):
         node = nodes[i]
         if node.text is not None:
             length[i], linked[i] = len(node.text), node.links
+            if tail < 0 and length[i] > 90 and 2 * linked[i] < length[i]:
+                tail = i
+        elif node.tag == "h1":
+            heading = i
         length[node.parent] += length[i]
         linked[node.parent] += linked[i]
-    out = []
+    regions = ["none"] * n
     for i, node in enumerate(nodes):
-        density = linked[i] / length[i] if length[i] else 0.0
-        names = ["bias", f"density {min(3, int(density * 4))}", f"length {min(9, length[i].bit_length())}"]
+        density = min(3, int(linked[i] / length[i] * 4)) if length[i] else 0
+        region = regions[node.parent] if i else "none"
+        found: set[str] = set()
         if node.text is None:
-            names += [f"tag {node.tag}", *(f"hint {h}" for h in sorted(hints(node.attrs)))]
+            found = hints(node.attrs)
+            own = REGIONS.get(node.tag)
+            if own is None and node.tag not in LINES and found:
+                own = "main" if found == {"content"} else "named"
+            if own:
+                region = own if own == "main" or not region.startswith(("main", "in ")) else f"in main {own}"
+        regions[i] = region
+        names = ["bias", f"density {density}", f"density {density} in {region}", f"length {min(9, length[i].bit_length())}", f"region {region}"]
+        place = "no heading" if heading < 0 else "before" if i < heading else "tail" if i > tail else "after"
+        names += [f"place {place}", f"place {place} in {region}"]
+        if node.text is None:
+            kind = "line" if node.tag in LINES else "box"
+            names += [f"tag {node.tag}", *(f"{kind} {h}" for h in sorted(found))]
         else:
             t = node.text
-            names += ["leaf", f"words {min(6, (t.count(' ') + 1).bit_length())}", f"under {nodes[node.parent].tag}"]
-            names.append("stop" if t[-1] in ".!?…。" else "open")
-            if "©" in t or "all rights reserved" in t.lower():
-                names.append("copyright")
-        out.append(names)
-    return out
+            words = min(6, (t.count(" ") + 1).bit_length())
+            stop = "stop" if t[-1] in ".!?…。" else "open"
+            names += ["leaf", f"words {words}", f"words {words} {stop} in {region}", f"under {nodes[node.parent].tag}", stop]
+            if "©" in t or "copyright" in t.lower() or "all rights reserved" in t.lower():
+                names.append(f"copyright in {region}")
+        yield names
 
 
 def pair_kind(nodes: list[Node], i: int) -> int:
     return KINDS.get(nodes[nodes[i].parent].tag, N_KINDS - 1) * N_KINDS + KINDS.get(nodes[i].tag, N_KINDS - 1)
 
 
-def content_marginals(nodes: list[Node], score: list[float], pairs: list[tuple[float, float, float, float]]) -> tuple[list[float], list[tuple]]:
-    """Marginals of content, and of each (parent, child) state pair; score: log odds, pairs: log potentials (00, 01, 10, 11)."""
+def content_marginals(nodes: list[Node], score: list[float], pairs: list[tuple[float, float, float, float]], joint: list[tuple] | None = None) -> list[float]:
+    """Marginals of content; score: log odds, pairs: log potentials (00, 01, 10, 11).
+
+    ``joint``, if given, gets the marginals of each (parent, child) state pair.
+    """
     n = len(nodes)
     up0, up1 = [0.0] * n, list(score)  # log of node potential times messages from the children
     msg0, msg1 = [0.0] * n, [0.0] * n
@@ -241,7 +344,6 @@ def content_marginals(nodes: list[Node], score: list[float], pairs: list[tuple[f
         up1[p] += msg1[i]
     down0, down1 = [0.0] * n, [0.0] * n
     marginal = [0.0] * n
-    joint: list[tuple] = [()] * n
     for i in range(n):
         if i:
             p, q = nodes[i].parent, pairs[i]
@@ -249,14 +351,15 @@ def content_marginals(nodes: list[Node], score: list[float], pairs: list[tuple[f
             d0, d1 = add(r0 + q[0], r1 + q[2]), add(r0 + q[1], r1 + q[3])
             shift = d0 if d0 > d1 else d1
             down0[i], down1[i] = d0 - shift, d1 - shift
-            cells = (r0 + q[0] + up0[i], r0 + q[1] + up1[i], r1 + q[2] + up0[i], r1 + q[3] + up1[i])
-            top = max(cells)
-            weights = [math.exp(c - top) for c in cells]
-            total = sum(weights)
-            joint[i] = tuple(w / total for w in weights)
+            if joint is not None:
+                cells = (r0 + q[0] + up0[i], r0 + q[1] + up1[i], r1 + q[2] + up0[i], r1 + q[3] + up1[i])
+                top = max(cells)
+                weights = [math.exp(c - top) for c in cells]
+                total = sum(weights)
+                joint.append(tuple(w / total for w in weights))
         odds = up1[i] + down1[i] - up0[i] - down0[i]
         marginal[i] = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
-    return marginal, joint
+    return marginal
 
 
 def truth(nodes: list[Node], wanted: list[str]) -> list[int]:
@@ -274,36 +377,40 @@ def truth(nodes: list[Node], wanted: list[str]) -> list[int]:
     return [int(2 * g > t > 0) for g, t in zip(good, total, strict=True)]
 
 
-@lru_cache(maxsize=2)
-def trained(n_pages: int = 160, epochs: int = 12, rate: float = 0.3, seed: int = 5) -> tuple[dict, list]:
-    """Feature weights and pair potentials, by AdaGrad on the log likelihood of labelled pages."""
+@lru_cache(maxsize=16)
+def trained(n_pages: int = 320, epochs: int = 10, rate: float = 0.3, seed: int = 5, families: tuple[str, ...] | None = None) -> tuple[dict, list]:
+    """Feature weights and pair potentials, by AdaGrad on the log likelihood of labelled pages (of some families of layouts)."""
+    number: dict[str, int] = {}
     pages = []
-    for source, wanted in training_pages(n_pages, seed):
+    for source, wanted in training_pages(n_pages, seed, families):
         nodes = parse(source)
-        pages.append((nodes, features_of(nodes), truth(nodes, wanted), [pair_kind(nodes, i) for i in range(len(nodes))]))
-    weights: dict[str, float] = {}
-    grown: dict[str, float] = {}
+        names = list(features_of(nodes))
+        counts = np.array([len(fs) for fs in names])
+        index = np.array([number.setdefault(f, len(number)) for fs in names for f in fs])
+        y = np.array(truth(nodes, wanted))
+        kinds = np.array([pair_kind(nodes, i) if i else 0 for i in range(len(nodes))])
+        parents = np.array([node.parent for node in nodes])
+        pages.append((nodes, index, counts, np.cumsum(counts) - counts, y, kinds, 2 * y[parents] + y))
+    weights, grown = np.zeros(len(number)), np.full(len(number), 1e-4)
     pairs, pairs_grown = np.zeros((N_KINDS * N_KINDS, 4)), np.full((N_KINDS * N_KINDS, 4), 1e-2)
+    order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for nodes, names, y, kinds in pages:
-            score = [sum(weights.get(f, 0.0) for f in fs) for fs in names]
-            marginal, joint = content_marginals(nodes, score, [tuple(pairs[k]) for k in kinds])
-            g: dict[str, float] = {}
-            for fs, yi, m in zip(names, y, marginal, strict=True):
-                for f in fs:
-                    g[f] = g.get(f, 0.0) + yi - m
-            gp = np.zeros_like(pairs)
-            for i in range(1, len(nodes)):
-                gp[kinds[i]] -= joint[i]
-                gp[kinds[i], 2 * y[nodes[i].parent] + y[i]] += 1
-            for f, v in g.items():
-                v = v / len(nodes) - 1e-4 * weights.get(f, 0.0)
-                grown[f] = grown.get(f, 1e-4) + v * v
-                weights[f] = weights.get(f, 0.0) + rate * v / math.sqrt(grown[f])
-            gp = gp / len(nodes) - 1e-4 * pairs
-            pairs_grown += gp * gp
-            pairs += 0.3 * rate * gp / np.sqrt(pairs_grown)
-    return weights, [tuple(map(float, row)) for row in pairs]
+        for k in order.permutation(len(pages)):
+            nodes, index, counts, first, y, kinds, states = pages[k]
+            score = np.add.reduceat(weights[index], first)
+            joint: list[tuple] = []  # of all nodes but the first
+            marginal = content_marginals(nodes, score.tolist(), list(map(tuple, pairs[kinds].tolist())), joint)
+            g = np.bincount(index, np.repeat(y - np.array(marginal), counts), len(weights)) / len(nodes) - 1e-4 * weights
+            grown += g * g
+            weights += rate * g / np.sqrt(grown)
+            if len(nodes) > 1:
+                gp = np.zeros_like(pairs)
+                np.add.at(gp, kinds[1:], -np.array(joint))
+                np.add.at(gp, (kinds[1:], states[1:]), 1)
+                gp = gp / len(nodes) - 1e-4 * pairs
+                pairs_grown += gp * gp
+                pairs += 0.3 * rate * gp / np.sqrt(pairs_grown)
+    return dict(zip(number, weights.tolist(), strict=True)), [tuple(row) for row in pairs.tolist()]
 
 
 def skipped(nodes: list[Node]) -> list[bool]:
@@ -321,7 +428,7 @@ def blocks(source: str, model: tuple[dict, list], threshold: float = 0.5) -> lis
     weights, pairs = model
     get = weights.get
     score = [sum(get(f, 0.0) for f in fs) for fs in features_of(nodes)]
-    marginal, _ = content_marginals(nodes, score, [pairs[pair_kind(nodes, i)] if i else (0.0, 0.0, 0.0, 0.0) for i in range(len(nodes))])
+    marginal = content_marginals(nodes, score, [pairs[pair_kind(nodes, i)] if i else (0.0, 0.0, 0.0, 0.0) for i in range(len(nodes))])
     return [n.text for n, m, no in zip(nodes, marginal, never, strict=True) if n.text is not None and m >= threshold and not no]
 
 
