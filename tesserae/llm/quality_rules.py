@@ -3,7 +3,9 @@
 Line rules, in this order (a line without a word has none and is kept):
  symbols      over ``symbol_words`` of the words hold a character of [#*$%&|<>]
  navigation   two or more separators | between words, or one for every two other words; or a line of at most ``link_line``
-              words without sentence end, over half of them in links (web addresses, [label](target))
+              words without sentence end: over half of them in links (web addresses, [label](target)), or two or more
+              other separators (· • » › → /) between parts of at most ``label_words`` words, or at least three words
+              over ``label_share`` of which are menu labels (``LABELS``)
  shouting     over ``loud_words`` of the words are upper case with letters, or end in !!
  repeated     ``repeat_words`` or more of the words equal the word before
  boilerplate  a phrase of cookie bars, script notices or placeholder text in a line of at most ``notice_line`` words; a
@@ -35,6 +37,13 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SENTENCE_END = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]]|”|’|»)*\\s*$".encode())
 SENTENCE_BREAK = re.compile("(?<=[.!?])\\s+|(?<=。|！|？)".encode())
 LINK = re.compile(rb"\[[^\]]*\]\([^)\s]*\)|(?<!\S)[<(]*(?:https?://|www\.)\S+", re.IGNORECASE)
+#: Signs that stand alone between the parts of a menu or path, and words that menus are made of (fixed values).
+SEPARATORS = frozenset(x.encode() for x in "· • » › → / :: >".split())
+LABELS = frozenset(
+    b"home about us news blog shop store products services contact help faq support login log in out sign up register account profile search menu cart checkout"
+    b" privacy terms sitemap careers jobs press team events gallery archive archives categories tags forum subscribe newsletter rss download downloads docs"
+    b" documentation pricing features back next previous prev top more".split()
+)
 BOILERPLATE = re.compile(
     rb"lorem ipsum|ut enim ad minim|duis aute irure|excepteur sint|enable javascript|accept (?:all )?cookies|we use cookies|cookie policy|privacy policy|terms of (?:use|service)"
     rb"|all rights reserved|subscribe to our newsletter|click here|sign (?:in|up) to|share (?:this|on)\b"
@@ -54,6 +63,8 @@ class Rules:
     short_words: int = 3
     keep_words: float = 0.5
     link_line: int = 20
+    label_words: int = 3
+    label_share: float = 0.7
     notice_line: int = 40
     notice_words: float = 0.5
 
@@ -96,6 +107,17 @@ def links(line: bytes, words: list[bytes]) -> bool:
     return 2 * len(LINK.sub(b" ", line).split()) < len(words) and not SENTENCE_END.search(line)
 
 
+def menu(line: bytes, words: list[bytes], rules: Rules) -> bool:
+    """Whether a short line without sentence end is a row of short parts between separators, or mostly menu labels."""
+    if any(map(SEPARATORS.__contains__, words)):
+        bars = [-1, *(i for i, w in enumerate(words) if w in SEPARATORS), len(words)]
+        if len(bars) >= 4 and max(b - a - 1 for a, b in zip(bars, bars[1:], strict=False)) <= rules.label_words:
+            return not SENTENCE_END.search(line)
+    if len(words) < 3:
+        return False
+    return sum(w in LABELS for w in line.lower().split()) > rules.label_share * len(words) and not SENTENCE_END.search(line)
+
+
 def boilerplate(line: bytes, n: int, rules: Rules) -> bool:
     """Whether a line of n words has a boilerplate phrase, or, if it is long, consists mostly of sentences that have one."""
     line = line.lower()
@@ -116,7 +138,7 @@ def line_rule(line: bytes, words: list[bytes], alone: bool, rules: Rules) -> str
             return "navigation"
         if len(WORD_OF_SYMBOLS.findall(line)) > rules.symbol_words * n:
             return "symbols"
-    if n <= rules.link_line and links(line, words):
+    if n <= rules.link_line and (links(line, words) or menu(line, words, rules)):
         return "navigation"
     if n >= 3 and shouting(line, words, rules.loud_words * n):
         return "shouting"
