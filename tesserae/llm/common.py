@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,14 @@ SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``, below one folder an application, to be removed whole
+    when its results were read. Only a local master, as in tests, may leave the setting out; a cluster must name a folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/tesserae/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,13 +54,43 @@ def remainder(key: str | Column, n: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, held: int, rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled training texts as (text, label), the same ones in any run.
+def whole_texts(found: DataFrame, keys: list[str], rows: int, chars: int, part: str | None = None) -> list[tuple]:
+    """(keys..., text) of a sample of whole texts: by a hash of the first key, until ``rows`` texts or ``chars`` characters
+    of each value of the column ``part`` (of all) are held.
+
+    ``found`` (keys, text) has one row a key and is bounded by its maker. Sizes are read first. A text that no longer
+    fits is passed over, never cut; where none fits the shortest is taken. The order does not depend on partitions.
+    """
+    found = stored(found.select(*keys, F.coalesce("text", F.lit("")).alias("text")), "sample")
+    sized = found.select(*keys, F.length("text").alias("n")).toArrow()
+    sizes = sized["n"].to_pylist()
+    key = list(zip(*(sized[k].to_pylist() for k in keys), strict=True))
+    group = sized[part].to_pylist() if part else [None] * len(sizes)
+    order = lambda k: (zlib.crc32(str(k[0]).encode()), *k)
+    taken: set[int] = set()
+    held: dict = {}
+    for i in sorted(range(len(sizes)), key=lambda i: order(key[i])):
+        n_rows, n_chars = held.get(group[i], (0, 0))
+        if n_rows < rows and n_chars + sizes[i] <= chars:
+            taken.add(i)
+            held[group[i]] = (n_rows + 1, n_chars + sizes[i])
+    for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], order(key[i]))):
+        if group[i] not in held:
+            taken.add(i)
+            held[group[i]] = (1, sizes[i])
+    if len(taken) < len(sizes):
+        found = found.join(found.sparkSession.createDataFrame(sized.select(keys).take(sorted(taken))), keys)
+    texts = found.select(*keys, "text").toArrow()
+    return sorted(zip(*(texts[c].to_pylist() for c in texts.column_names), strict=True), key=lambda r: order(r[:-1]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int, held: int, rows: int, chars: int) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled training texts as (text, label), ``chars`` characters in all, the same ones in any run.
 
     Rows whose crc32 remainder is ``held`` are never read as labels. The ids are chosen first by hash order, so the
-    list that is broadcast has at most ``rows`` rows whatever the size of the corpus. Of each training text at most
-    ``max_chars`` characters, from a hash-chosen place, are fitted on; that bounds the driver's memory by
-    rows * max_chars. A repeated label row counts once (the largest label); null ids and labels are left out.
+    list that is broadcast has at most ``rows`` rows whatever the size of the corpus. Texts are fitted on whole. A
+    repeated label row counts once (the largest label), of rows that repeat an id the largest text; null ids and labels
+    are left out.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -62,16 +98,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, buckets: int
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    cut = F.when(F.length("text") <= max_chars, F.col("text")).otherwise(
-        F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id), length(text) - {max_chars} + 1) as int), {max_chars})")
-    )
-    picked = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "y", cut.alias("text"))
-    )
-    table = picked.toArrow().to_pydict()
-    order = sorted(range(len(table["y"])), key=lambda i: (table["doc_id"][i], table["text"][i]))
-    return [(table["text"][i], table["y"][i]) for i in order]
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    found = whole_texts(picked, ["doc_id", "y"], rows, chars)
+    return [(text, y) for _, y, text in sorted(found)]
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -42,9 +42,9 @@ class Settings:
     decay: float = 1e-4
     batch: int = 128
     seed: int = 7
-    #: Bounds of the fitting sample: labelled rows, and characters of each.
+    #: Bounds of the fitting sample: labelled rows, and the characters of all of them; texts are never cut.
     rows: int = 6000
-    max_chars: int = 10_000
+    chars: int = 16_000_000
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def score_texts(column: pa.Array, model: dict | None) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2) -> dict | None:
     s = settings or Settings()
-    return fit(labelled_sample(docs, labels, "quality", buckets, held, s.rows, s.max_chars), s)
+    return fit(labelled_sample(docs, labels, "quality", buckets, held, s.rows, s.chars), s)
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:

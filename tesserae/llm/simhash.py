@@ -58,14 +58,14 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42, part: int = 1 << 16
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
+    """doc_id, text_hash (64 bits, tells apart rows that repeat an id) and fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return inputs(docs).mapInArrow(run, "doc_id long, fp long")
+    return inputs(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def edges(fps: DataFrame, most: int = 4, block: int = 20_000) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, most: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable) of every row."""
+    """doc_id, text_hash, fp, component_id (the least doc_id reachable) and root (a number of the component) of every row."""
     rows = stored(fingerprints(docs, shingle, seed), "fingerprints")
     n = rows.count()
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
@@ -199,16 +199,20 @@ def near_groups(docs: DataFrame, most: int = 4, shingle: int = 4, seed: int = 42
     rooted = stored(classes.join(found, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     per_fp = join_groups(rooted.select("fp", "n", "root"), stored(named, "named"), "root", "members", max(1, rooted.count()))
-    per_fp = stored(per_fp.select("fp", "n", "component_id"), "components")
-    return join_groups(rows, per_fp, "fp", "n", n).select("doc_id", "fp", "component_id")
+    per_fp = stored(per_fp.select("fp", "n", "component_id", "root"), "components")
+    return join_groups(rows, per_fp, "fp", "n", n).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, **parameters: int) -> DataFrame:
     """The documents with one of each group of near duplicates (its least doc_id), all columns as they were."""
-    first = near_groups(docs, **parameters).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = stored(first, "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    groups = near_groups(docs, **parameters).groupBy("root").agg(first)
+    kept = stored(groups.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_hash")), "kept")
+    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__hash")]
+    marked = docs.select("*", *key)
     # the same plan at any size: texts are dealt by id once and not sorted, ids are hashed
-    out = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    both = marked["__id"].eqNullSafe(kept["__kept_id"]) & (marked["__hash"] == kept["__kept_hash"])
+    out = marked.join(kept.hint("shuffle_hash"), both, "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id and a text
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+        out = out.dropDuplicates(["__id", "__hash"])
+    return out.drop("__id", "__hash")

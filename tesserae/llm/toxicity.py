@@ -33,9 +33,9 @@ class Settings:
     l1: float = 3.0
     l2: float = 0.1
     epochs: int = 5
-    #: Bounds of the fitting sample: labelled rows, and characters of each.
+    #: Bounds of the fitting sample: labelled rows, and the characters of all of them; texts are never cut.
     rows: int = 8000
-    max_chars: int = 20_000
+    chars: int = 24_000_000
 
 
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def score_texts(column: pa.Array, model: tuple[float, np.ndarray, np.ndarray], b
 def score(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, buckets: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text; fitted on labels that are not held out."""
     s = settings or Settings()
-    model = fit(labelled_sample(docs, labels, "toxic", buckets, held, s.rows, s.max_chars), s)
+    model = fit(labelled_sample(docs, labels, "toxic", buckets, held, s.rows, s.chars), s)
     return scored(docs, lambda column: score_texts(column, model, s.bits), buckets, held, threshold)
 
 

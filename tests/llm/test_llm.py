@@ -3,8 +3,12 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 
 import duckdb
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tesserae.llm import (
     bpe_automaton,
+    common,
     exact_dedup,
     golay,
     html_extraction,
@@ -82,6 +87,59 @@ def test_odd_tables(spark, odd):
         assert keep(empty).count() == 0
 
 
+def test_odd_rows_by_value(spark, odd):
+    """Rows by value: equal texts get equal results, null counts as empty, held_out is null for a null id."""
+    df, labels = odd
+    text_of = {r.doc_id: r.text or "" for r in df.where("doc_id is not null").collect()}
+    for rows, n, k in ((quality_classifier.score(df, labels).collect(), 4, 2), (toxicity.score(df, labels).collect(), 5, 0)):
+        by_text = collections.defaultdict(set)
+        for r in rows:
+            assert 0 <= r.score <= 1 and r.held_out == (None if r.doc_id is None else held(r.doc_id, n, k))
+            by_text[text_of.get(r.doc_id)].add(r.score)
+        assert all(len(v) == 1 for v in by_text.values())
+    found = {r.doc_id: r for r in language_id.identify(df).collect()}
+    for i, t in text_of.items():
+        assert (found[i].lang_pred == "und") == (not any(map(str.isalpha, t)))
+        assert found[i].held_out == held(i, 4, 2) and 0 <= found[i].score <= 1
+    pieces = packing.pack(df.where("doc_id is not null").dropDuplicates(["doc_id"]), BYTE_BPE).collect()
+    check_packing(pieces, text_of)
+    same = collections.defaultdict(set)
+    for r in simhash.near_groups(df).collect():
+        same[brute_fingerprint(text_of.get(r.doc_id, "null id"))].add(r.fp)
+    assert all(len(v) == 1 for v in same.values())
+    rows = [r for r in exact_dedup.duplicate_groups(df).collect()]
+    folded = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        t = folded(text_of.get(r.doc_id, "null id"))
+        assert r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        groups[t].append(r)
+    for own in groups.values():
+        largest = max((r.doc_id for r in own if r.doc_id is not None), default=None)
+        assert sum(r.kept for r in own) == 1
+        assert all(r.keep_id == largest and r.group_size == len(own) for r in own)
+
+
+def test_ids_with_two_texts(spark):
+    """Rows that share an id but not a text are rows of their own."""
+    one, two = " ".join(f"first{i}" for i in range(40)), " ".join(f"second{i}" for i in range(40))
+    df = spark.createDataFrame([(5, one), (5, two), (6, one), (6, one), (7, two)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [(5, one), (5, two)]
+    assert sorted(map(tuple, exact_dedup.keep_one(df).collect())) == [(6, one), (7, two)]
+
+
+def test_odd_pages(spark):
+    body = "<article><p>One paragraph of plain words stands here.</p></article>"
+    rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", body, 3), (3, "u", body, 3), (None, "v", body, 4), (4, "w", "\u00a0\n", 5), (5, "x", "<p>" * 4 + "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16") + "</p>", 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text long").withColumns({"n_chars": F.lit(1), "marginal": F.lit(2)})
+    found = html_extraction.extract(df)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in found.collect() if r.page_id != 5)
+    words = "One paragraph of plain words stands here."
+    assert got == sorted([("1", "u", "", 0), ("2", "None", "", 0), ("3", "u", words, len(words)), ("3", "u", words, len(words)), ("None", "v", words, len(words)), ("4", "w", "", 0)])
+    assert html_extraction.extract(df.limit(0)).count() == 0
+
+
 def test_no_labels_at_all(spark, odd):
     df, labels = odd
     assert {r.score for r in quality_classifier.score(df, labels.limit(0)).collect()} == {0.5}
@@ -114,6 +172,65 @@ def test_attention_gradient():
     assert ((p >= 0.5) == [y for _, y in rows]).all()
 
 
+def test_attention_by_loops():
+    """The classifier's forward pass, passage by passage, and its gradient by differences."""
+    rng = np.random.default_rng(3)
+    s = quality_classifier.Settings()
+    n = 5
+    x, owner = rng.normal(size=(n, quality_classifier.N_FEATURES)), np.array([0, 0, 0, 1, 1])
+    p = {"We": rng.normal(size=(x.shape[1], s.hidden)), "be": rng.normal(size=s.hidden), "V": rng.normal(size=(s.hidden, s.attention)), "U": rng.normal(size=(s.hidden, s.attention)), "w": rng.normal(size=s.attention), "c": rng.normal(size=s.hidden), "b": np.array(0.3)}
+    got = quality_classifier.attend(x, owner, 2, p)[-1]
+    for bag in (0, 1):
+        hs, weights = [], []
+        for i in np.flatnonzero(owner == bag):
+            h = np.tanh([sum(x[i, f] * p["We"][f, k] for f in range(x.shape[1])) + p["be"][k] for k in range(s.hidden)])
+            gate = [np.tanh(h @ p["V"][:, a]) / (1 + np.exp(-(h @ p["U"][:, a]))) for a in range(s.attention)]
+            hs.append(h)
+            weights.append(np.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        z = sum(w * h for w, h in zip(weights, hs, strict=True)) / sum(weights)
+        assert np.isclose(got[bag], 1 / (1 + np.exp(-(z @ p["c"] + p["b"]))))
+
+
+def test_ftrl_by_loops():
+    """Weights after a few examples equal those of per-coordinate updates written out one by one."""
+    s = toxicity.Settings(bits=10, l1=0.2, epochs=2)
+    rows = [("bad words here", 1), ("good plain words here", 0), ("bad bad thing", 1), ("a plain thing", 0), ("", 0)]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else s.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for text, y in rows:
+            x = [*sorted({int(b) for b in toxicity.features(pa.array([text]), s.bits)[1]}), "bias"]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in x:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha * w[i]
+                n[i] += g * g
+    bias, buckets, weights = toxicity.fit(rows, s)
+    assert np.isclose(bias, weight("bias"))
+    wanted = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert set(buckets) == set(wanted) and all(np.isclose(wanted[int(b)], w) for b, w in zip(buckets, weights, strict=True))
+    texts = ["bad words here", "nothing known", ""]
+    p = toxicity.score_texts(pa.array(texts), (bias, buckets, weights), s.bits)
+    for t, q in zip(texts, p, strict=True):
+        own = {int(b) for b in toxicity.features(pa.array([t]), s.bits)[1]}
+        assert np.isclose(q, 1 / (1 + np.exp(-(bias + sum(w for i, w in wanted.items() if i in own)))))
+
+
+def test_fitting_sample_is_whole_and_bounded(spark):
+    texts = [(i, "x" * (100 if i % 7 else 5000)) for i in range(1, 60)] + [(3, "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "quality", 4, 2, 30, 9000)
+    assert len(got) <= 30 and sum(len(t) for t, _ in got) <= 9000 and {len(t) for t, _ in got} <= {1, 100, 5000}
+    assert got == common.labelled_sample(docs.repartition(7), labels, "quality", 4, 2, 30, 9000)
+    small = common.labelled_sample(docs, labels, "quality", 4, 2, 1000, 10**9)
+    assert len(small) == sum(not held(i, 4, 2) for i in range(1, 60))
+
+
 def check_packing(pieces, texts, capacity=1024):
     from tokenizers import Tokenizer
 
@@ -153,6 +270,48 @@ def test_packing_tree(spark, docs):
     assert check_packing(pieces, dict(rows_of(docs))) < 1.2
 
 
+def test_packing_carry_and_held(spark):
+    """What a group keeps back of its underfull bins, and packing in the middle of a partition, cost no sequence here."""
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").repartition(8)
+    texts = dict(rows_of(docs))
+    counts = []
+    for parameters in ({}, {"carry": 1 << 40}, {"carry": 16}, {"held": 20}):
+        pieces = packing.pack(docs, BYTE_BPE, fan_in=2, **parameters).collect()
+        check_packing(pieces, texts)
+        counts.append(len({p.sequence_id for p in pieces}))
+    assert counts[0] == counts[1] and counts[2] <= counts[1] + 1 and counts[3] <= 1.02 * counts[1]
+
+
+def test_carry_loses_no_sequence():
+    """Two groups merged with ``carry`` and without it: the emptiest bins are those that can take others' bins."""
+    rng = random.Random(8)
+    for _ in range(20):
+        sizes = [[rng.choice((rng.randint(1, 1023), rng.randint(400, 700))) for _ in range(400)] for _ in range(4)]
+        counts = []
+        for carry in (64, 1 << 40):
+            up, emitted = [], 0
+            for own in sizes:
+                bins = packing.best_fit([(n, [n]) for n in own], 1024)
+                now = packing.judged(bins, 1024, 8, carry, False)
+                emitted += sum(now)
+                up += [(b[0], b[1]) for b, e in zip(bins, now, strict=True) if not e]
+            counts.append(emitted + len(packing.best_fit(up, 1024)))
+        assert counts[0] <= counts[1] + 1
+
+
+def test_packing_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(4)
+    encode = packing.encoder(BYTE_BPE)
+    long = [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 300_000 + "x", "a" * 300_000, "word " * 60_000, "".join(rng.choice("ab \n.é日") for _ in range(250_000))]
+    for t in long:
+        assert list(encode(t)) == library.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long[:3])], "doc_id long, text string")
+    check_packing(packing.pack(df, BYTE_BPE).collect(), dict(enumerate(long[:3])))
+
+
 def test_best_fit_is_best_fit():
     bins = packing.best_fit([(6, "a"), (5, "b"), (4, "c"), (3, "d"), (2, "e")], 10)
     assert sorted(b[0] for b in bins) == [10, 10]
@@ -198,7 +357,7 @@ def test_tree_marginals_by_enumeration():
     rng = random.Random(2)
     score = [rng.uniform(-2, 2) for _ in nodes]
     pairs = [tuple(rng.uniform(-2, 2) for _ in range(4)) for _ in nodes]
-    marginal, _ = html_extraction.content_marginals(nodes, score, pairs)
+    marginal = html_extraction.content_marginals(nodes, score, pairs)
     weight = np.zeros(len(nodes))
     total = 0.0
     for states in itertools.product((0, 1), repeat=len(nodes)):
@@ -208,6 +367,49 @@ def test_tree_marginals_by_enumeration():
     assert np.allclose(weight / total, marginal)
 
 
+@pytest.mark.parametrize("family", ["newspaper", "divisions", "manual", "sections"])
+def test_html_families_held_out(family):
+    """A model that never saw a family of layouts, on pages of that family."""
+    model = html_extraction.trained(families=tuple(f for f in html_training.FAMILIES if f != family))
+    total = 0.0
+    pages = html_training.training_pages(60, 91, (family,))
+    for source, wanted in pages:
+        a, b = (collections.Counter(" ".join(x).split()) for x in (html_extraction.blocks(source, model), wanted))
+        total += 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+    assert total / len(pages) > 0.95
+
+
+def test_html_kinds_of_content():
+    model = html_extraction.trained()
+    page = "<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{}<footer>© 2024 A site</footer></body></html>"
+    long = "A long paragraph goes on with many plain words and ends at last. " * 4
+    inside = [
+        ("<article><p>Use <b>bold</b> and <code>call()</code> in it.</p><ul><li><a href=/x>One link here</a></li></ul></article>", ["Use bold and call() in it.", "One link here"]),
+        (f"<h1>T</h1><p>{long}</p><figure><img src=x><figcaption>A caption.</figcaption></figure>", ["T", long.strip(), "A caption."]),
+        ("<article><h1>Title</h1><p>First words of it all.</p><table><tr><th>Name<th>Age<tr><td>Ann<td>30</table><p>Last words.</p></article>", ["Title", "First words of it all.", "Name", "Age", "Ann", "30", "Last words."]),
+        ("<article><h1>Title</h1><p><a href=/q>This whole paragraph is one link.</a></p><ul><li><a href=/1>First linked item</a><li><a href=/2>Second one</a></ul></article>", ["Title", "This whole paragraph is one link.", "First linked item", "Second one"]),
+        ("<article><h1>Title</h1><dl><dt>Term</dt><dd>What it means in words.</dd></dl><p class='comment'>A paragraph with a name.</p><p>End of it.</p></article>", ["Title", "Term", "What it means in words.", "A paragraph with a name.", "End of it."]),
+        ("<article><h1>Title</h1><p>Some words of the article.</p></article><div id=comments><p>I liked this article a lot, thank you.</p></div>", ["Title", "Some words of the article."]),
+    ]
+    for markup, wanted in inside:
+        assert html_extraction.blocks(page.format(markup), model) == wanted
+
+
+def test_html_broken_pages_are_linear():
+    model = html_extraction.trained()
+    n = 200_000
+    pages = [
+        '<a x="' * (n // 6), "<a x='>" * (n // 7), "<b></i>" * (n // 7), "<b>" * (n // 3) + "</i>" * (n // 4), "<div>" * (n // 5) + "x" + "</p></ul>" * (n // 9),
+        "<p><td>" + "<h1>" * (n // 4) + "<h2>" * (n // 4), "<aaaa" * (n // 5), "<!" * (n // 2), "<div " + "a" * n + ">x", "<div " + "a=b " * (n // 4) + ">x",
+        "&#" + "9" * n + ";x", "<!--" * (n // 4), "<li><ul>" * (n // 8) + "<li>" * (n // 4), "<script>" * (n // 8), "<xmp>" * (n // 5), "<" * n,
+    ]
+    for source in pages:
+        start = time.process_time()
+        html_extraction.blocks(source, model)
+        assert time.process_time() - start < 15, source[:20]
+    assert html_extraction.parse("<p title='a > b' x=\"c\">In</p><i y=it's>out</i>")[-1].text == "out"
+
+
 def test_html_odd():
     model = html_extraction.trained()
     for source in ("", "<", "<p", "plain text only", "<div>" * 3000 + "deep" + "</div>" * 3000, "<!-- x", "<script>var a", "&amp;&#x41;&bad;"):
@@ -253,6 +455,57 @@ def test_crf_marginals_by_enumeration():
         assert np.allclose(language_id.marginals(emit, starts, transition, begin, block), wanted)
 
 
+def test_language_parts_are_one_chain(monkeypatch):
+    rng = random.Random(6)
+    words = {"x": "bak dorim eshte falu garno", "y": "the water under seven bridges", "z": "quiz vox lynx jump waltz"}
+    rows = [(" ".join(rng.choices(words[y].split(), k=30)), y) for y in "xyz" * 10]
+    model = language_id.fit(rows, language_id.Settings(steps=20, batch=32))
+    bits = language_id.Settings().bits
+    long = " ".join(t for t, _ in rows) + " " + "q" * 5000 + " 12 日本語" * 50
+    whole = [language_id.label_texts(pa.array(x), model, bits) for x in ([long], [t for t, _ in rows] + ["", "1"])]
+    monkeypatch.setattr(language_id, "CELLS", 9 * 2)  # a few blocks a part
+    for part_bytes in (300, 1 << 20):
+        monkeypatch.setattr(language_id, "PART_BYTES", part_bytes)
+        parts = [language_id.label_texts(pa.array(x), model, bits) for x in ([long], [t for t, _ in rows] + ["", "1"])]
+        for (a, p), (b, q) in zip(whole, parts, strict=True):
+            assert a == b and np.allclose(p, q)
+
+
+def test_language_many(spark):
+    """Every language of the training rows can be predicted, however many there are."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(230):
+        stem = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+        rows += [(k * 10 + j, " ".join(f"{stem}{rng.choice('aeiou')}{rng.choice('lmnr')}" for _ in range(25)), f"l{k:03}") for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = language_id.Settings(rows=1000, steps=12, batch=64)
+    sample = language_id.training_rows(docs, s, 4, 2)
+    assert {y for _, y in sample} == {y for _, _, y in rows}
+    model = language_id.fit(sample, s)
+    assert len(model["names"]) == 230
+
+
+LONG_TEXT = """
+import resource, sys, numpy as np, pyarrow as pa
+from tesserae.llm import language_id
+rng = np.random.default_rng(0)
+size = 4
+model = {"names": list("abcd"), "weights": rng.normal(size=(1 << 16, size)).astype(np.float32), "transition": rng.normal(size=(size, size)), "begin": np.zeros(size)}
+language_id.label_texts(pa.array(["warm up"]), model, 16)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = {"words": "some words stand here " * 910_000, "run": "a" * 20_000_000}[sys.argv[1]]
+language_id.label_texts(pa.array([text]), model, 16)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("kind", ["words", "run"])
+def test_language_of_20_megabytes(kind):
+    found = subprocess.run([sys.executable, "-c", LONG_TEXT, kind], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert int(found.stdout.split()[-1]) < 500
+
+
 def test_token_counts_against_library(spark, docs, odd):
     import sentencepiece
 
@@ -370,12 +623,13 @@ def test_golay_keys():
         assert all(set(a[i, : na[i]]) & set(b[i, : nb[i]]) for i in range(len(x)))
 
 
-def test_exact_dedup_against_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF1}/documents.parquet'")
-    found = con.execute(queries.ORACLE_SQL["op8_exact_dedup"])
+    found = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in found.description]
-    assert sorted(map(tuple, queries.op8_exact_dedup(spark, SF1).select(*names).collect())) == sorted(found.fetchall())
+    assert sorted(map(tuple, queries.QUERIES[name](spark, SF1).select(*names).collect())) == sorted(found.fetchall())
 
 
 def test_digest_index_persists(spark, tmp_path):
@@ -389,6 +643,53 @@ def test_digest_index_persists(spark, tmp_path):
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in later) == [(9, 2, False), (10, 10, False), (10, 10, True)]
 
 
+def digests(spark, rows, path, batch, **parameters):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, path, 4, **parameters)
+    return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(docs, index, batch).collect())
+
+
+def test_digest_index_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    two = [(9, "a"), (10, "c"), (10, "c"), (11, "B")]
+    assert digests(spark, [(1, "a"), (2, "A"), (3, "b")], path, "1") == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    again = [digests(spark, two, path, "2") for _ in range(3)]
+    assert again[0] == again[1] == again[2] == [(9, 2, 3, False), (10, 10, 2, False), (10, 10, 2, True), (11, 3, 2, False)]
+    # every append from here on is followed by a rewrite
+    assert digests(spark, [(20, "a"), (21, "z")], path, "3", max_files=0) == [(20, 2, 4, False), (21, 21, 1, True)]
+    assert digests(spark, [(30, "A"), (31, "Z")], path, "4", max_files=0) == [(30, 2, 5, False), (31, 21, 2, False)]
+    assert digests(spark, [(20, "a"), (21, "z")], path, "3") == [(20, 2, 5, False), (21, 21, 2, True)]
+    index = exact_dedup.DigestIndex(spark, path, 4, bucket_rows=1)
+    index.compact()
+    assert index._version()[1] > 4 and len(index._listed(path)) > 1
+    index.vacuum()
+    assert len(index._listed(path)) == 1
+    assert index.open().groupBy("batch").count().count() == 4
+    index.close()
+    assert digests(spark, [], path, "5") == []
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_large_index_small_batch(spark, tmp_path):
+    """The index is read in its buckets, unshuffled and unsorted, and nothing of its size is broadcast."""
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    old = spark.range(20_001).selectExpr("id doc_id", "concat('t', least(id, 20000 - 1)) text")
+    exact_dedup.duplicate_groups(old, index, "old").count()
+    new = spark.createDataFrame([(1, "t1"), (2, "t19999"), (3, "new")], "doc_id long, text string")
+    found = exact_dedup.duplicate_groups(new, index, "new")
+    assert sorted((r.doc_id, r.group_size, r.kept) for r in found.collect()) == [(1, 2, False), (2, 3, False), (3, 1, True)]
+    index.compact()  # one file a bucket again
+    groups = new.select(F.unhex(F.sha2("text", 256)).alias("digest"))
+    joined = exact_dedup.new_groups(groups, index.open(), "new")
+    assert joined.count() == 1
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("SortMergeJoin") : plan.index("Initial Plan") if "Initial Plan" in plan else None]
+    assert "LeftAnti" in side and "Bucketed: true" in side
+    assert side.count("Exchange") == 1 and len(re.findall(r"\bSort \[", side)) == 1
+    index.close()
+
+
 def brute_measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     windows = list(zip(w, w[1:], w[2:]))
@@ -415,6 +716,15 @@ def test_quality_rules_lines():
     assert not measures["kept"]
 
 
+def test_quality_rules_menus():
+    rules = quality_rules.Rules()
+    fails = lambda line: quality_rules.line_rule(line.encode(), line.encode().split(), False, rules)
+    for line in ("Home · About · News · Shop", "Home About News Shop Help Contact Login", "Home / Products / Red shoes / Size 9", "» Read on » Next page » Top", "home news contact"):
+        assert fails(line) == "navigation"
+    for line in ("He went home about noon to help us.", "and / or both of the many things that are here", "Home is where the news of the day is read", "1 / 2 / 3 done."):
+        assert fails(line) is None
+
+
 def test_quality_rules_loud_lines():
     rules = quality_rules.Rules()
     fails = lambda line: quality_rules.line_rule(line.encode(), line.encode().split(), False, rules)
