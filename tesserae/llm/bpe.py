@@ -47,10 +47,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         machine = automaton(path)
         for batch, texts in slices(batches, "text"):
             n, by_ids, by_text = [], [], []
+            shown = machine.decimal.__getitem__
             for t in texts.to_pylist():
                 ids = machine.encode(t)
                 n.append(len(ids))
-                by_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                by_ids.append(hashlib.sha256(",".join(map(shown, ids)).encode()).hexdigest())
                 by_text.append(hashlib.sha256(machine.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())],

@@ -5,10 +5,14 @@ leads to is copied without its arc v, u is redirected to the copy, and w is adde
 After the last merge the automaton accepts exactly the tokenisations that the merges produce: after token t it is in
 one state, and an arc x from there exists if and only if BPE can put x after t.
 
-States share structure: a copy holds only its parent and the arc taken away, which makes 50,000 gadgets cheap. Whether
-a state has an arc is then answered from the tables (``allowed``) and kept in a transition memo that is filled as arcs
-are met. Exactly one path of the automaton spells a pre-split word; it is found from left to right. Decoding emits the labels
-of the arcs.
+States share structure: a copy holds only its parent and the arc taken away, which makes 50,000 gadgets cheap. An arc
+of the transition table is computed from these when it is first met (``allowed``) and read from the table from then on.
+
+Encoding is deterministic, byte by byte, by two tables: the automaton's arcs, and the transitions over bytes of the
+labels' suffix automaton, whose states know the labels that end at a byte. The automaton accepts one path for every
+string, so for every prefix of a word exactly one label that ends there has an arc from the last label of the prefix
+before it. The last labels, read back from the word's end, are its ids. Nothing is searched or taken back, and the work
+is in proportion to the word. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words of a generation of the memo; two are held.
 MEMO_WORDS = 400_000
 MEMO_ARCS = 4_000_000
+#: Bytes of a word's head, and how many heads are held.
+HEAD = 4
+MEMO_HEADS = 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -44,6 +51,7 @@ class Automaton:
             self.label[i] = bytes(of[c] for c in piece)
         for piece, i in self.special.items():
             self.label[i] = piece.encode()
+        self.decimal = list(map(str, range(len(self.label))))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self._compile([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], [vocab[c] for c in of])
         self._split = regex.compile(PRE_SPLIT)
@@ -70,16 +78,39 @@ class Automaton:
             self.seen[w] = rank + (u == v)
         self.arcs: dict[int, bool] = {}
         self.by_label = {self.label[t]: t for t in [*alphabet, *(m[2] for m in merges)]}
-        # label lengths by first two bytes, the longest first, and for each label the next shorter one that starts it
-        starts: dict[bytes, set[int]] = {}
-        for x in self.by_label:
-            if len(x) > 1:
-                starts.setdefault(x[:2], set()).add(len(x))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in starts.items()}
-        self.shorter: dict[int, int] = {}
+        self._compile_labels()
+
+    def _compile_labels(self) -> None:
+        """The suffix automaton of the labels: a tree of their bytes, for each node the longest proper suffix that is a
+        node (``fail``), and the labels that end there with their sizes, the longest first (``ends``)."""
+        tree: list[dict[int, int]] = [{}]
+        ends: list[tuple] = [()]
         for x, t in self.by_label.items():
-            if len(x) > 1:
-                self.shorter[t] = next(self.by_label[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in self.by_label)
+            at = 0
+            for b in x:
+                below = tree[at].get(b)
+                if below is None:
+                    below = tree[at][b] = len(tree)
+                    tree.append({})
+                    ends.append(())
+                at = below
+            ends[at] = ((t, len(x)),)
+        fail = [0] * len(tree)
+        level = list(tree[0].values())
+        while level:
+            deeper = []
+            for at in level:
+                ends[at] += ends[fail[at]]
+                for b, below in tree[at].items():
+                    up = fail[at]
+                    while up and b not in tree[up]:
+                        up = fail[up]
+                    fail[below] = tree[up].get(b, 0) if at else 0
+                    deeper.append(below)
+            level = deeper
+        self.tree, self.fail, self.ends = tree, fail, ends
+        self.steps: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte -> (state, ends)
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}  # state and last labels after the first bytes of words
 
     def allowed(self, state: int, token: int, before: int = 1 << 60) -> bool:
         """Whether ``state``, as it was before merge ``before``, has an arc ``token``."""
@@ -98,60 +129,54 @@ class Automaton:
             # the gadget added it beside its left part: was that arc there then?
             state, token, before = s, self.left[token], self.seen[token]
 
-    def follows(self, last: int, token: int) -> bool:
-        key = last << 17 | token
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= MEMO_ARCS:
-                self.arcs.clear()
-            found = self.arcs[key] = self.allowed(self.state[last], token)
+    def arc(self, last: int, token: int) -> bool:
+        """Whether the state after ``last`` has an arc ``token``: computed once, then in the table."""
+        if len(self.arcs) >= MEMO_ARCS:
+            self.arcs.clear()
+        found = self.arcs[last << 17 | token] = self.allowed(self.state[last], token)
         return found
 
-    def longest(self, word: bytes, at: int) -> int:
-        """The longest label that starts at a place of the word."""
-        by_label = self.by_label
-        for size in self.lengths.get(word[at : at + 2], ()):
-            token = by_label.get(word[at : at + size])
-            if token is not None:
-                return token
-        return by_label[word[at : at + 1]]
+    def step(self, state: int, byte: int) -> tuple[int, tuple]:
+        """The suffix automaton's transition over a byte, and the labels that end there: computed once, then in the table."""
+        up = state
+        while up and byte not in self.tree[up]:
+            up = self.fail[up]
+        to = self.tree[up].get(byte, 0)
+        found = self.steps[state << 8 | byte] = (to, self.ends[to])
+        return found
 
     def word(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word: the one path of the automaton whose labels spell it.
-
-        From each place the longest label with an arc is followed; a place from which no path ends the word is noted
-        once, so every place is left at most once and the work stays in proportion to the word.
-        """
-        whole = self.by_label.get(word)
-        if whole is not None:
-            return [whole]
-        label, shorter, arcs, follows, longest = self.label, self.shorter, self.arcs, self.follows, self.longest
-        path: list[int] = []
-        dead: set[int] = set()
-        at, last, n = 0, -1, len(word)
-        token = longest(word, 0)
-        while True:
-            end = at + len(label[token])
-            if end not in dead:
-                open_ = last < 0
-                if not open_:
-                    open_ = arcs.get(last << 17 | token)
-                    if open_ is None:
-                        open_ = follows(last, token)
-                if open_:
-                    path.append(token)
-                    if end == n:
-                        return path
-                    at, last = end, token
-                    token = longest(word, at)
-                    continue
-            token = shorter.get(token, -1)
-            while token < 0:  # no arc leads on from here
-                dead.add(at)
-                token = path.pop()
-                at -= len(label[token])
-                last = path[-1] if path else -1
-                token = shorter.get(token, -1)
+        """The ids of one pre-split word: the one path of the automaton whose labels spell it."""
+        steps, arcs, label = self.steps, self.arcs, self.label
+        head = word[:HEAD]
+        known = self.heads.get(head)
+        if known:  # many words begin alike
+            state, last = known[0], known[1].copy()
+            at, rest = HEAD, word[HEAD:]
+        else:
+            state, last, at, rest = 0, [-1], 0, word
+        for byte in rest:
+            at += 1
+            state, ends = steps.get(state << 8 | byte) or self.step(state, byte)
+            for token, size in ends:
+                before = last[at - size]
+                if before < 0:  # the label is the whole prefix
+                    break
+                open_ = arcs.get(before << 17 | token)
+                if open_ or open_ is None and self.arc(before, token):
+                    break
+            last.append(token)
+            if at == HEAD and not known:
+                if len(self.heads) >= MEMO_HEADS:
+                    self.heads.clear()
+                self.heads[head] = (state, last.copy())
+        ids = []
+        while at:
+            token = last[at]
+            ids.append(token)
+            at -= len(label[token])
+        ids.reverse()
+        return ids
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """The ids of a text without special strings, by its pre-split words; short ones are remembered in two generations."""
