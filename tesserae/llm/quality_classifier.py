@@ -1,8 +1,9 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words (the last one may be shorter). An encoder maps every passage's surface
-measures (shares of words with symbols, separators, capitals, repeats, sentence ends, ... and hashed word shapes) to
-``hidden`` numbers. Gated attention, tanh(Vh) * sigmoid(Uh), learns from document labels alone which passages count, and
+A document is a bag of passages of ``PASSAGE`` words (the last one may be shorter). An encoder maps every passage to
+``hidden`` numbers, from the mean of its words' learned vectors (words are hashed, A-Z in lower case) and from surface
+measures (shares of words with symbols, separators, capitals, repeats, sentence ends, ... and hashed word shapes). Gated
+attention, tanh(Vh) * sigmoid(Uh), learns from document labels alone which passages count, and
 a logistic unit scores the weighted passage representation. All parts are trained together on a bounded sample.
 
 Defined cases: null text counts as empty; a text without a word is a bag of one empty passage; without labelled rows
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import byte_table, flat, IDENTITY, labelled_sample, NOT_SPACE, SLICE_BYTES, small_batches, Words
+from tesserae.llm.common import byte_table, flat, FOLD, IDENTITY, labelled_sample, NOT_SPACE, SLICE_BYTES, small_batches, Words
 from tesserae.llm.toxicity import scored, sigmoid
 
 PASSAGE = 100
@@ -37,9 +38,13 @@ N_FEATURES = 16 + SHAPES
 class Settings:
     hidden: int = 16
     attention: int = 8
-    epochs: int = 30
+    #: Hashed words that have a vector, and its length.
+    bits: int = 13
+    lexical: int = 8
+    epochs: int = 15
     rate: float = 0.01
     decay: float = 1e-4
+    lexical_decay: float = 1e-4
     batch: int = 128
     seed: int = 7
     #: Bounds of the fitting sample: labelled rows, and the characters of all of them; texts are never cut.
@@ -47,8 +52,9 @@ class Settings:
     chars: int = 16_000_000
 
 
-def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(measures [passages, N_FEATURES], number of the text of each passage); every text has at least one passage."""
+def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(measures [passages, N_FEATURES], number of the text of each passage, hashes of all words by passage, words of each
+    passage); every text has at least one passage."""
     n_texts = len(column)
     data, offsets = flat(column)
     words = Words(data, offsets, NOT_SPACE)
@@ -59,11 +65,13 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n_texts), bags)
     total = int(bags.sum())
     x = np.zeros((total, N_FEATURES))
+    folded, counts = np.zeros(0, np.uint64), np.zeros(total, np.int64)
     if n:
         within = np.arange(n) - (np.cumsum(per_text) - per_text)[words.text]
         bag = first_bag[words.text] + within // PASSAGE
         size = np.bincount(bag, minlength=total).astype(float)
         h = words.hashes(IDENTITY)
+        folded, counts = words.hashes(FOLD), size.astype(np.int64)
         length = (words.end - words.start).astype(float)
         has = lambda table: words.sums(table[data]) > 0
         same = np.zeros(n, bool)
@@ -96,15 +104,34 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x[:, 16:] = np.bincount(bag * SHAPES + shape, minlength=total * SHAPES).reshape(total, SHAPES)
         x /= np.maximum(size, 1)[:, None]
         x[:, 15] = np.log1p(size)
-    return x, owner
+    return x, owner, folded, counts
 
 
-def passages_in_steps(column: pa.Array, step: int = SLICE_BYTES // 4) -> tuple[np.ndarray, np.ndarray]:
-    """``passages`` of many texts, about ``step`` bytes at a time: what is held at once is their measures alone."""
+def passages_in_steps(column: pa.Array, bits: int, step: int = SLICE_BYTES // 4) -> tuple[np.ndarray, ...]:
+    """``passages`` of many texts, about ``step`` bytes at a time, with words as numbers of ``bits`` bits: what is held at once
+    is their measures and these numbers."""
     sizes = np.cumsum([len(t) for t in column.to_pylist()]) // step if len(column) else np.zeros(0)
     cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(column)]
-    found = [passages(column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return np.concatenate([x for x, _ in found]), np.concatenate([o + a for (_, o), a in zip(found, cuts, strict=False)])
+    found = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x, owner, h, counts = passages(column.slice(a, b - a))
+        found.append((x.astype(np.float32), owner + a, (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32), counts))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def mean_vectors(word: np.ndarray, counts: np.ndarray, vectors: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """The mean of the words' vectors of each passage (zero without a word); ``step`` words' vectors are held at a time."""
+    out = np.zeros((len(counts), vectors.shape[1]))
+    first = np.cumsum(counts) - counts
+    some = np.flatnonzero(counts)
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(first[some], first[some[at]] + step)))
+        part = some[at:end]
+        a, b = first[part[0]], first[part[-1]] + counts[part[-1]]
+        out[part] = np.add.reduceat(vectors[word[a:b]], first[part] - a) / counts[part, None]
+        at = end
+    return out
 
 
 def attend(x: np.ndarray, owner: np.ndarray, n: int, p: dict) -> tuple:
@@ -122,15 +149,20 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
     """The trained parameters (None without both labels), by Adam on the log loss."""
     if len({y for _, y in rows}) < 2:
         return None
-    x, owner = passages_in_steps(pa.array([t for t, _ in rows], pa.string()))
+    x, owner, word, counts = passages_in_steps(pa.array([t for t, _ in rows], pa.string()), s.bits)
     y = np.array([y for _, y in rows], float)
     rng = np.random.default_rng(s.seed)
     mean, scale = x.mean(0), x.std(0) + 0.02
-    x = (x - mean) / scale
+    x = ((x - mean) / scale).astype(np.float64)
     small = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    p = {"We": small(N_FEATURES, s.hidden), "be": np.zeros(s.hidden), "V": small(s.hidden, s.attention), "U": small(s.hidden, s.attention), "w": small(s.attention), "c": small(s.hidden), "b": np.zeros(())}
+    p = {
+        "E": np.zeros((1 << s.bits, s.lexical)), "We": small(N_FEATURES + s.lexical, s.hidden), "be": np.zeros(s.hidden), "V": small(s.hidden, s.attention),
+        "U": small(s.hidden, s.attention), "w": small(s.attention), "c": small(s.hidden), "b": np.zeros(()),
+    }
     m, r = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     first, last = np.searchsorted(owner, np.arange(len(y))), np.searchsorted(owner, np.arange(len(y)), "right")
+    word_at = np.cumsum(counts) - counts
+    spread = lambda start, sizes: np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     step = 0
     for epoch in range(s.epochs):
         order = rng.permutation(len(y))
@@ -138,9 +170,11 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
         for at in range(0, len(y), s.batch):
             part = order[at : at + s.batch]
             sizes = last[part] - first[part]
-            rows_at = np.repeat(first[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            rows_at = spread(first[part], sizes)
             bag = np.repeat(np.arange(len(part)), sizes)
-            xb = x[rows_at]
+            n_words = counts[rows_at]
+            words = word[spread(word_at[rows_at], n_words)]
+            xb = np.concatenate([x[rows_at], mean_vectors(words, n_words, p["E"])], 1)
             h, v, u, att, z, starts, q = attend(xb, bag, len(part), p)
             d = (q - y[part]) / len(part)
             dz = d[:, None] * p["c"]
@@ -148,14 +182,18 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
             da = att * (datt - np.add.reduceat(att * datt, starts)[bag])
             dv, du = da[:, None] * p["w"] * u * (1 - v * v), da[:, None] * p["w"] * v * u * (1 - u)
             dh = (att[:, None] * dz[bag] + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
-            g = {"We": xb.T @ dh, "be": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ da, "c": z.T @ d, "b": d.sum()}
+            dx = (dh @ p["We"][N_FEATURES:].T) / np.maximum(n_words, 1)[:, None]
+            dw = np.repeat(np.arange(len(rows_at)), n_words)
+            de = np.stack([np.bincount(words, dx[dw, k], 1 << s.bits) for k in range(s.lexical)], 1)
+            g = {"E": de, "We": xb.T @ dh, "be": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ da, "c": z.T @ d, "b": d.sum()}
             step += 1
             for k in p:
-                gk = g[k] + s.decay * p[k]
+                gk = g[k] + (s.lexical_decay if k == "E" else s.decay) * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * gk
                 r[k] = 0.999 * r[k] + 0.001 * gk * gk
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(r[k] / (1 - 0.999**step)) + 1e-8)
-    return p | {"mean": mean, "scale": scale}
+    p["E"] = p["E"].astype(np.float32)
+    return p | {"mean": mean, "scale": scale, "bits": s.bits}
 
 
 def score_texts(column: pa.Array, model: dict | None) -> np.ndarray:
@@ -163,8 +201,9 @@ def score_texts(column: pa.Array, model: dict | None) -> np.ndarray:
         return np.full(len(column), 0.5)
     if not len(column):
         return np.zeros(0)
-    x, owner = passages_in_steps(column, SLICE_BYTES)
-    return attend((x - model["mean"]) / model["scale"], owner, len(column), model)[-1]
+    x, owner, word, counts = passages_in_steps(column, model["bits"], SLICE_BYTES)
+    x = np.concatenate([(x - model["mean"]) / model["scale"], mean_vectors(word, counts, model["E"])], 1)
+    return attend(x, owner, len(column), model)[-1]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2) -> dict | None:

@@ -173,11 +173,11 @@ def test_attention_gradient():
 
 
 def test_attention_by_loops():
-    """The classifier's forward pass, passage by passage, and its gradient by differences."""
+    """The classifier's forward pass, passage by passage, and the mean vectors of words, word by word."""
     rng = np.random.default_rng(3)
     s = quality_classifier.Settings()
     n = 5
-    x, owner = rng.normal(size=(n, quality_classifier.N_FEATURES)), np.array([0, 0, 0, 1, 1])
+    x, owner = rng.normal(size=(n, quality_classifier.N_FEATURES + s.lexical)), np.array([0, 0, 0, 1, 1])
     p = {"We": rng.normal(size=(x.shape[1], s.hidden)), "be": rng.normal(size=s.hidden), "V": rng.normal(size=(s.hidden, s.attention)), "U": rng.normal(size=(s.hidden, s.attention)), "w": rng.normal(size=s.attention), "c": rng.normal(size=s.hidden), "b": np.array(0.3)}
     got = quality_classifier.attend(x, owner, 2, p)[-1]
     for bag in (0, 1):
@@ -189,6 +189,12 @@ def test_attention_by_loops():
             weights.append(np.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
         z = sum(w * h for w, h in zip(weights, hs, strict=True)) / sum(weights)
         assert np.isclose(got[bag], 1 / (1 + np.exp(-(z @ p["c"] + p["b"]))))
+    counts, vectors = np.array([3, 0, 1, 7, 0]), rng.normal(size=(16, 4))
+    word = rng.integers(0, 16, counts.sum())
+    at = np.concatenate([[0], np.cumsum(counts)])
+    wanted = [vectors[word[a:b]].mean(0) if b > a else np.zeros(4) for a, b in itertools.pairwise(at)]
+    for step in (1, 3, 100):
+        assert np.allclose(quality_classifier.mean_vectors(word, counts, vectors, step), wanted)
 
 
 def test_ftrl_by_loops():
