@@ -30,7 +30,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["tag_exact_alias"](spark, sf_dir)
 
 
-WORDS_SQL = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9à-öø-ÿß]+'), lambda w: w <> '')"
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
 
 
 def phrases(t: Callable) -> DataFrame:
@@ -52,6 +52,33 @@ def tag_exact_alias(t):
     return dictionary.tag_exact(t("documents"), phrases(t), sizes=[5]).select("doc_id", F.col("start").cast("long").alias("start"), "item_id", "surface")
 
 
+PARTS_SQL = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+')"
+
+
+@query(f"""WITH names AS (SELECT item_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+aliases AS (SELECT min(item_id) AS item_id, surface, n FROM (SELECT item_id, n, array_to_string(w[1:n], ' ') AS surface FROM names, (SELECT unnest([2, 3, 5, 8]) AS n) WHERE len(w) >= n) GROUP BY surface, n),
+tokens AS (SELECT doc_id, text, {WORDS_SQL.format('text')} AS w FROM documents), windows AS (SELECT doc_id, n, i - 1 AS start, array_to_string(w[i:i + n - 1], ' ') AS surface FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+FROM tokens, (SELECT unnest([2, 3, 5, 8]) AS n) WHERE len(w) >= n)), hits AS (SELECT doc_id, start, n, surface, item_id FROM windows JOIN aliases USING (surface, n)),
+longest AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits g WHERE g.doc_id = h.doc_id AND g.start <= h.start AND g.start + g.n >= h.start + h.n AND g.n > h.n)),
+parts AS (SELECT doc_id, {PARTS_SQL} AS p FROM documents), led AS (SELECT doc_id, p, CASE WHEN regexp_matches(p[1], '^[\\p{{L}}\\p{{M}}\\p{{N}}]') THEN 0 ELSE 1 END AS lead FROM parts)
+SELECT doc_id, start, n::INT AS n, surface, item_id, coalesce(list_sum(list_transform(p[1:lead + 2 * start], lambda x: length(x))), 0)::INT AS raw_start,
+list_sum(list_transform(p[1:lead + 2 * start + 2 * n - 1], lambda x: length(x)))::INT AS raw_end FROM longest JOIN led USING (doc_id)""")
+def tag_longest_spans(t):
+    """Aliases of several lengths: of overlapping ones the leftmost longest, with their characters in the raw text."""
+    w = t("benchmark").select("item_id", T.words(F.col("text")).alias("w"))
+    names = w.select("item_id", "w", F.explode(F.array(*map(F.lit, (2, 3, 5, 8)))).alias("k")).where(F.size("w") >= F.col("k"))
+    aliases = names.groupBy(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("surface")).agg(F.min("item_id").alias("item_id"))
+    found = dictionary.leftmost_longest(dictionary.tag_exact(t("documents"), aliases))
+    spans = dictionary.with_offsets(found, t("documents"))
+    return spans.select("doc_id", F.col("start").cast("long").alias("start"), "n", "surface", "item_id", "raw_start", "raw_end")
+
+
+@query()
+def feature_hash_signed(t):
+    f = F.explode(F.array(F.concat(F.lit("brand="), "p_brand"), F.concat(F.lit("type="), "p_type"), F.concat(F.lit("size="), "p_size"))).alias("feature")
+    return vectors.signed_feature_hash(t("part").select("p_partkey", f, F.lit(1.0).alias("weight")), "p_partkey")
+
+
 @query(f"WITH {TAGGED_SQL} SELECT doc_id, item_id, count(*) AS mention_count, min(start) AS first_start, array_to_string(list_sort(list(DISTINCT surface)), '|') AS surfaces FROM tagged GROUP BY ALL")
 def entity_merge_by_link(t):
     return mentions.merge_by_entity(tag_exact_alias(t), "doc_id", "item_id")
@@ -64,10 +91,10 @@ def entity_relevance(t):
     return mentions.relevance(entity_merge_by_link(t), "doc_id", n).select("doc_id", "item_id", "mention_count", "relevance")
 
 
-@query(f"""WITH {TAGGED_SQL}, best AS (SELECT doc_id, surface, min(item_id) AS chosen FROM tagged GROUP BY ALL)
+@query(f"""WITH {TAGGED_SQL}, best AS (SELECT doc_id, surface, arg_min(item_id, struct_pack(a := -((item_id * 7 + start) % 5), b := item_id)) AS chosen FROM tagged GROUP BY ALL)
 SELECT doc_id, start, item_id, surface, chosen FROM tagged JOIN best USING (doc_id, surface)""")
 def surface_consistency(t):
-    m = tag_exact_alias(t).withColumn("score", F.lit(1.0))
+    m = tag_exact_alias(t).withColumn("score", (F.col("item_id") * 7 + F.col("start")) % 5)
     return mentions.consistent_surfaces(m, "doc_id", "surface", "item_id", "score").select("doc_id", "start", "item_id", "surface", "chosen")
 
 
@@ -99,10 +126,10 @@ def rule_regex_matches(t):
     return mentions.rule_mentions(t("documents"), RULES)
 
 
-@query(f"WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL) SELECT doc_id, label, max(n) AS n, arg_max(surface, struct_pack(a := n, b := -length(surface), c := surface)) AS surface FROM m GROUP BY ALL")
+@query(f"WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL) SELECT doc_id, label, max(n) AS n, arg_min(surface, struct_pack(a := -n, b := length(surface), c := surface)) AS surface FROM m GROUP BY ALL")
 def mention_dedupe_argmax(t):
-    m = rule_regex_matches(t).groupBy("doc_id", "label").agg(F.max("n").alias("n"), F.max_by("surface", F.struct("n", -F.length("surface"), F.col("surface"))).alias("surface"))
-    return m
+    m = rule_regex_matches(t).withColumn("size", F.length("surface"))
+    return mentions.dedupe(m, ["doc_id", "label"], "n", ["size", "surface"]).select("doc_id", "label", "n", "surface")
 
 
 @query(f"WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL) SELECT source, label, sum(n)::BIGINT AS mentions, count(DISTINCT doc_id) AS docs FROM m JOIN documents USING (doc_id) GROUP BY ALL")
@@ -111,14 +138,14 @@ def topics_by_domain(t):
 
 
 @query(f"""WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL), c AS (SELECT doc_id, count(*) AS entity_count FROM m GROUP BY doc_id),
-d AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.+&/-]*'))::BIGINT AS token_count, coalesce(entity_count, 0)::BIGINT AS entity_count FROM documents LEFT JOIN c USING (doc_id))
+d AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+&/-]*'))::BIGINT AS token_count, coalesce(entity_count, 0)::BIGINT AS entity_count FROM documents LEFT JOIN c USING (doc_id))
 SELECT *, round(100.0 * entity_count / greatest(token_count, 1), 4) AS per_100_tokens, token_count >= 100 AND round(100.0 * entity_count / greatest(token_count, 1), 4) < 0.5 AS low_density FROM d""")
 def doc_metrics(t):
     return mentions.metrics(t("documents"), rule_regex_matches(t))
 
 
 @query(f"""WITH m AS (SELECT doc_id, label, surface, count(*) AS n FROM ({RULES_SQL}) GROUP BY ALL), c AS (SELECT doc_id, count(*) AS entity_count FROM m GROUP BY doc_id),
-d AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.+&/-]*'))::BIGINT AS token_count, coalesce(entity_count, 0)::BIGINT AS entity_count FROM documents LEFT JOIN c USING (doc_id))
+d AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_.+&/-]*'))::BIGINT AS token_count, coalesce(entity_count, 0)::BIGINT AS entity_count FROM documents LEFT JOIN c USING (doc_id))
 SELECT doc_id, token_count, entity_count FROM d WHERE token_count >= 50 AND round(100.0 * entity_count / token_count, 4) < 1.0""")
 def density_warning(t):
     m = mentions.metrics(t("documents"), rule_regex_matches(t), low_density=1.0, least_tokens=50)
@@ -290,7 +317,7 @@ def graph_shortest_path(t):
 
 IMPACT_SQL = """WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.9 AS confidence FROM nation UNION ALL SELECT 'n' || c_nationkey, 'm' || c_mktsegment, 0.5 + 0.01 * (count(*) % 40) FROM customer GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS rn FROM e QUALIFY rn <= 64), p1 AS (SELECT src AS seed, dst AS node, 1 AS hops, confidence FROM s WHERE src LIKE 'r%'),
-p2 AS (SELECT p1.seed, s.dst AS node, 2 AS hops, least(p1.confidence, s.confidence) * 0.9 AS confidence FROM p1 JOIN s ON p1.node = s.src), a AS (SELECT seed, node, hops, round(confidence, 6) AS confidence FROM p1 UNION ALL SELECT seed, node, hops, round(confidence, 6) FROM p2),
+p2 AS (SELECT p1.seed, s.dst AS node, 2 AS hops, least(p1.confidence, s.confidence) AS confidence FROM p1 JOIN s ON p1.node = s.src), a AS (SELECT seed, node, hops, round(confidence * 0.9, 6) AS confidence FROM p1 UNION ALL SELECT seed, node, hops, round(confidence * 0.75, 6) FROM p2),
 b AS (SELECT seed, node, arg_max(hops, struct_pack(x := confidence, y := -hops)) AS hops, max(confidence)::DOUBLE AS confidence FROM a GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, hops, node))::INT AS rank FROM b QUALIFY rank <= 25"""
 
@@ -300,6 +327,25 @@ def impact_expand(t):
     return graph.expand_paths(impact.market_edges(t("nation"), t("customer")), t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
 
 
+ORDER_GRAPH_SQL = """e AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst, max(1 - l_discount::DOUBLE) AS confidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL
+UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, max(1 - l_tax::DOUBLE) FROM lineitem GROUP BY ALL),
+s AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) <= 64), seeds AS (SELECT 'c' || c_custkey AS seed, 0.5 + c_nationkey / 50.0 AS own FROM customer WHERE c_custkey % 20 = 0),
+p1 AS (SELECT seed, own, dst AS node, confidence FROM seeds JOIN s ON src = seed), p2 AS (SELECT seed, own, s.dst AS node, least(p1.confidence, s.confidence) AS confidence FROM p1 JOIN s ON s.src = p1.node),
+a AS (SELECT seed, node, 1 AS hops, round(own * confidence * 0.9, 6) AS confidence FROM p1 UNION ALL SELECT seed, node, 2, round(own * confidence * 0.75, 6) FROM p2),
+b AS (SELECT seed, node, arg_max(hops, struct_pack(x := confidence, y := -hops)) AS hops, max(confidence)::DOUBLE AS confidence FROM a GROUP BY ALL)"""
+
+
+@query(f"WITH {ORDER_GRAPH_SQL} SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, hops, node))::INT AS rank FROM b QUALIFY rank <= 25")
+def impact_expand_orders(t):
+    """Many seeds (a stated set of customers, each with its own confidence) over a graph of hundreds of thousands of edges."""
+    lines = t("lineitem").select("l_orderkey", F.concat(F.lit("p"), "l_partkey").alias("part"), F.concat(F.lit("s"), "l_suppkey").alias("supplier"), "l_discount", "l_tax")
+    buys = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.col("part").alias("dst"))
+    buys = buys.agg(F.max(1 - F.col("l_discount").cast("double")).alias("confidence")).withColumn("relation", F.lit("buys"))
+    made = lines.groupBy(F.col("part").alias("src"), F.col("supplier").alias("dst")).agg(F.max(1 - F.col("l_tax").cast("double")).alias("confidence"))
+    seeds = t("customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"), (0.5 + F.col("c_nationkey") / 50.0).alias("confidence"))
+    return graph.expand_paths(buys.unionByName(made.withColumn("relation", F.lit("made_by"))), seeds)
+
+
 @query()
 def impact_expand_customers(t):
     regions = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
@@ -402,7 +448,7 @@ def event_gate_reasons(t):
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 100)
-SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[ceil(count(*) * 0.95)::INT] AS p95 FROM r GROUP BY event_type""")
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM r GROUP BY event_type""")
 def pack_health_last_n(t):
     return evaluation.health(t("events"), "event_type", "ts", "value", 100)
 

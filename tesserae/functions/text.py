@@ -79,13 +79,13 @@ def strip_tags(source: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters, digits and apostrophes."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9à-öø-ÿß]+"), lambda w: w != "")
+    """Lower-case runs of letters, marks and digits of any script."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def token_count(text: Column) -> Column:
-    """Tokens: a word character, then word characters or .+&/- until the last word character."""
-    return F.regexp_count(text, F.lit(r"[A-Za-z0-9_][A-Za-z0-9_.+&/-]*"))
+    """Tokens: a word character of any script, then word characters or .+&/- until the last word character."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_.+&/-]*"))
 
 
 def slug(text: Column) -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import Window as W
 from tesserae.functions import text as T
 
 
+#: Words of the longest alias that is looked for, and first words that are compared as a text is read.
+LONGEST = 8
+FEW_STARTS = 5000
+
+
 def token_windows(docs: DataFrame, id_col: str, tokens: Column, sizes: list[int]) -> DataFrame:
     """(id, start, n, surface): every window of n tokens, for each n of ``sizes``. One explode, no shuffle."""
     at = docs.select(F.col(id_col), tokens.alias("tokens"))
@@ -21,13 +26,55 @@ def token_windows(docs: DataFrame, id_col: str, tokens: Column, sizes: list[int]
 def tag_exact(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: list[int] | None = None) -> DataFrame:
     """Mentions (id, start, n, surface, alias columns) of aliases (surface, ...) in texts, as windows of whole words.
 
-    The window lengths are a small set that the caller knows or one aggregate of the alias table finds. The join is by
-    the surface; Spark broadcasts the alias side only where its measured size allows, and splits hot surfaces otherwise.
+    Lengths of aliases are those in ``sizes`` (all up to ``LONGEST`` words, if not told otherwise; longer aliases never
+    match). A word of a text goes on only if an alias starts with it: the first words are compared while the text is read
+    where they are few (counted, at most ``FEW_STARTS``), else by a join with the table of first words, which Spark
+    broadcasts only where its size allows. What goes on is the place and the next words, and only the lengths that aliases
+    with that first word have become windows for the join by surface. So what is shuffled follows the hits.
     """
-    if sizes is None:
-        sizes = sorted(r[0] for r in aliases.select((F.size(F.split("surface", " "))).alias("n")).distinct().collect())
-    windows = token_windows(docs, id_col, T.words(F.col(text_col)), sizes)
-    return windows.join(aliases, "surface")
+    words = F.split("surface", " ")
+    sizes = sorted(set(sizes or range(1, LONGEST + 1)))
+    named = aliases.where(F.size(words).isin(sizes))
+    starts = named.groupBy(F.element_at(words, 1).alias("first")).agg(F.sort_array(F.collect_set(F.size(words))).alias("sizes"))
+    few = [r["first"] for r in starts.select("first").limit(FEW_STARTS + 1).collect()]
+    tokens = docs.select(F.col(id_col), T.words(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+    places = F.sequence(F.lit(1), F.size("tokens"))
+    if len(few) <= FEW_STARTS:
+        places = F.filter(places, lambda i: F.get("tokens", i - 1).isin(few)) if few else F.array().cast("array<int>")
+    ahead = F.transform(places, lambda i: F.struct(i.alias("at"), F.slice("tokens", i, F.lit(sizes[-1])).alias("next")))
+    found = tokens.select(id_col, F.explode(ahead).alias("x")).select(id_col, "x.at", "x.next", F.get("x.next", F.lit(0)).alias("first"))
+    found = found.join(starts, "first").select(id_col, "at", "next", F.explode("sizes").alias("n")).where(F.size("next") >= F.col("n"))
+    windows = found.select(id_col, (F.col("at") - 1).alias("start"), "n", F.array_join(F.slice("next", F.lit(1), F.col("n")), " ").alias("surface"))
+    return windows.join(named, "surface")
+
+
+def with_offsets(mentions: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Mentions (id, start and n in words, ...) with raw_start and raw_end, the span's characters in the text.
+
+    Only texts with a mention are cut, into words and what is between them; a place is the length of all that is before.
+    """
+    rows = [c for c in mentions.columns if c != id_col]
+    own = mentions.groupBy(id_col).agg(F.collect_list(F.struct(*rows)).alias("m"))
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"([\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+)"), F.lit(1))
+    cut = own.join(docs.select(id_col, text_col), id_col).select(id_col, "m", parts.alias("parts"))
+    lead = F.when(F.get("parts", F.lit(0)).rlike(r"^[\p{L}\p{M}\p{N}]"), 0).otherwise(1)
+    # the first part of a word w (from 0) is number lead + 2 w
+    length = lambda n: F.aggregate(F.slice("parts", F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
+    each = cut.select(id_col, "parts", lead.alias("lead"), F.explode("m").alias("m"))
+    first = F.col("lead") + 2 * F.col("m.start")
+    return each.select(
+        id_col, *(F.col(f"m.{c}").alias(c) for c in rows), length(first.cast("int")).alias("raw_start"), length((first + 2 * F.col("m.n") - 1).cast("int")).alias("raw_end")
+    )
+
+
+def leftmost_longest(mentions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Mentions that no longer one covers (start, n in words), in the order start, -n: of one place the longest, and none
+    inside another. The largest end of a text's earlier mentions is a running value, so one sort a text is all."""
+    end = F.col("start") + F.col("n")
+    w = W.partitionBy(id_col).orderBy("start", F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    longest = mentions.groupBy(id_col, "start").agg(F.max("n").alias("n"))
+    covered = longest.withColumn("reach", F.max(end).over(w)).where(F.col("reach").isNull() | (F.col("reach") < end)).drop("reach")
+    return mentions.join(covered, [id_col, "start", "n"], "left_semi")
 
 
 def best_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -81,18 +128,23 @@ def lookup_prefix_and(index: DataFrame, id_col: str, prefixes: list[str]) -> Dat
 def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score): Okapi BM25 of the texts that hold a query term.
 
-    Only query terms leave their text, so what is shuffled follows the hits, not the corpus; lengths are one aggregate row.
+    A text becomes its length and one count a term as it is read; nothing but one row of totals (documents, mean length,
+    documents of each term) is gathered, so no shuffle follows the corpus. id_col is unique.
     """
-    words = docs.select(F.col(id_col), T.words(text).alias("w")).where(F.size("w") > 0)
-    totals = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
-    own = F.filter("w", lambda x: x.isin(*query))
-    hit = words.select(id_col, F.size("w").alias("length"), F.explode(own).alias("term")).groupBy(id_col, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    # both are bounded: a row a query term, and one row
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(F.broadcast(df), "term").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return scored.groupBy(id_col).agg(F.sum(idf * tf).alias("score"))
+    terms = sorted(set(query))
+    count = lambda q: (F.size("w") - F.size(F.array_remove("w", q)))
+    counted = docs.select(F.col(id_col), T.words(text).alias("w")).where(F.size("w") > 0)
+    counted = counted.select(id_col, F.size("w").alias("length"), *(count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
+    totals = counted.agg(
+        F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
+    )
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        tf = F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        score = score + F.when(F.col(f"tf{i}") > 0, idf * tf).otherwise(0.0)
+    hit = counted.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
+    return hit.crossJoin(F.broadcast(totals)).select(id_col, score.alias("score"))
 
 
 def trigrams(text: Column) -> Column:

@@ -15,11 +15,11 @@ def precision_recall(rows: DataFrame, by: str, predicted: Column, actual: Column
 
 
 def health(observations: DataFrame, key: str, time: str, value: str, last: int) -> DataFrame:
-    """(key, n, mean, p95) of the latest ``last`` observations of each key; p95 by nearest rank."""
+    """(key, n, mean, p95) of the latest ``last`` observations of each key; p95 interpolates between ranks, ends included."""
     w = W.partitionBy(key).orderBy(F.desc(time), F.desc("event_id"))
     recent = observations.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= last)
-    g = recent.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.sort_array(F.collect_list(value)).alias("v"))
-    return g.select(key, "n", "mean", F.element_at("v", F.ceil(F.col("n") * 0.95).cast("int")).alias("p95"))
+    g = recent.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.95), 6).alias("p95"))
+    return g
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
@@ -55,14 +55,22 @@ def by_priority(df: DataFrame, key: str, kind: str, priority: list[str]) -> Data
 
 
 def prefix_limits(files: DataFrame, order: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """The rows with ``status``: files are taken in order until a count or byte limit trips; all later ones are skipped.
+    """The rows with ``status``: files are taken in order (unique) until a count or byte limit trips; all later ones are skipped.
 
-    The running sums go over one ordering by design; the listing (a name and a size a file) is what is ordered, not data.
+    Only the first max_rows rows in order are summed up, found by a distributed top-k; where a limit trips is one row,
+    which all others are compared with. So no task sees more than max_rows rows.
     """
+    first = files.orderBy(order).limit(max_rows)
     w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    ran = files.withColumn("seq", F.count(F.lit(1)).over(w)).withColumn("total", F.sum(size).over(w))
-    status = F.when(F.col("seq") > max_rows, "max_files").when(F.col("total") > max_bytes, "max_bytes").otherwise("taken")
-    return ran.withColumn("status", status)
+    ran = first.select(order, F.sum(size).over(w).alias("total"))
+    trips = ran.agg(
+        F.max(order).alias("__last"), F.count(F.lit(1)).alias("__n"), F.min(F.when(F.col("total") > max_bytes, F.col(order))).alias("__bytes")
+    )
+    status = (
+        F.when((F.col("__n") == max_rows) & (F.col(order) > F.col("__last")), "max_files")
+        .when(F.col(order) >= F.col("__bytes"), "max_bytes").otherwise("taken")
+    )
+    return files.crossJoin(F.broadcast(trips)).withColumn("status", status).drop("__last", "__n", "__bytes")
 
 
 def routed(rows: DataFrame, routes: list[tuple[str, Column]], otherwise: str) -> DataFrame:

@@ -69,22 +69,30 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int) -> DataFram
     return found
 
 
-def expand_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.9, per_node: int = 64, top: int = 25) -> DataFrame:
-    """(seed, node, hops, confidence, rank): acyclic expansion; a path's confidence is its weakest edge times decay ** (hops - 1).
+def depth_decay(hops: int) -> float:
+    """1 at the seed, .9 after one step, .75 after two, and half as much with every step from there."""
+    return {0: 1.0, 1: 0.9}.get(hops, 0.75 * 0.5 ** max(hops - 2, 0))
+
+
+def expand_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 64, top: int = 25) -> DataFrame:
+    """(seed, node, hops, confidence, rank): acyclic expansion; a path's confidence is that of its seed (0 to 1; 1 where seeds
+    has no column confidence, or null) times its weakest edge's times ``depth_decay`` of its hops. Edges carry their effective
+    confidence (``resolution.edge_confidence``).
 
     Of each node only its ``per_node`` strongest edges are followed; of each seed the ``top`` best reached nodes stay.
     Both are the feature's own limits and have total orders. Nodes of a path are kept to reject cycles.
     """
     w = W.partitionBy("src").orderBy(F.desc("confidence"), "dst", "relation")
     strong = edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_node).select("src", "dst", F.col("confidence").alias("edge"))
-    paths = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit(1.0).alias("weakest"))
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0)))) if "confidence" in seeds.columns else F.lit(1.0)
+    paths = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at"), F.array("node").alias("path"), F.lit(1.0).alias("weakest"), own.alias("own"))
     levels = []
     for h in range(1, depth + 1):
         paths = (
             paths.join(strong, paths["at"] == strong["src"]).where(~F.array_contains("path", F.col("dst")))
-            .select("seed", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.least("weakest", "edge").alias("weakest"))
+            .select("seed", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.least("weakest", "edge").alias("weakest"), "own")
         )
-        levels.append(paths.select("seed", F.col("at").alias("node"), F.lit(h).alias("hops"), F.round(F.col("weakest") * decay ** (h - 1), 6).alias("confidence")))
+        levels.append(paths.select("seed", F.col("at").alias("node"), F.lit(h).alias("hops"), F.round(F.col("own") * F.col("weakest") * depth_decay(h), 6).alias("confidence")))
     reached = levels[0]
     for level in levels[1:]:
         reached = reached.unionByName(level)

@@ -19,9 +19,9 @@ def rule_mentions(docs: DataFrame, rules: dict[str, str], id_col: str = "doc_id"
 
 
 def dedupe(mentions: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
-    """One mention a key: the largest score, then the least ties; a max of structs, combined before the shuffle."""
+    """One mention a key: the largest score, then the least ties (of any type); a min of structs, combined before the shuffle."""
     rest = [c for c in mentions.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.col(score), *(-F.col(c) for c in ties)))
+    best = F.min_by(F.struct(*rest), F.struct(-F.col(score), *ties))
     return mentions.groupBy(*keys).agg(best.alias("m")).select(*keys, *(F.col(f"m.{c}").alias(c) for c in rest))
 
 
@@ -34,7 +34,7 @@ def merge_by_entity(mentions: DataFrame, doc: str, entity: str) -> DataFrame:
 
 def consistent_surfaces(mentions: DataFrame, doc: str, surface: str, entity: str, score: str) -> DataFrame:
     """Every mention of a surface in a document takes the entity of the surface's best mention (then the least entity)."""
-    best = mentions.groupBy(doc, surface).agg(F.max_by(F.col(entity), F.struct(F.col(score), -F.col(entity))).alias("chosen"))
+    best = mentions.groupBy(doc, surface).agg(F.min_by(F.col(entity), F.struct(-F.col(score), F.col(entity))).alias("chosen"))
     return mentions.join(best, [doc, surface])
 
 

@@ -34,11 +34,24 @@ def tagged(docs: DataFrame, aliases: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is available now, through the stream's engine, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query: StreamingQuery = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that is available now, through the stream's engine, as a table in shared storage.
+
+    Output and the engine's checkpoint lie below spark.checkpoint.dir, which only a local master may leave out. With mode
+    complete a batch replaces what earlier ones wrote, else it is added under its number, so a repeated batch is one.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/streams/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write)
+    query: StreamingQuery = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def file_stream(table: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small fixtures for operators that SQL cannot check, and for edge cases."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tesserae import catalog
 from tesserae.functions import articles, normalise
 from tesserae.functions import text as T
-from tesserae.operators import evaluation, events, graph, heuristics, mentions, resolution
+from tesserae.operators import dictionary, evaluation, events, graph, heuristics, mentions, resolution, vectors
 from tesserae.sources import files
 from tesserae.streaming import windows
 
@@ -66,7 +67,7 @@ def test_segments_are_bounded_and_whole(spark):
 def test_expand_rejects_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "r", 0.9), ("b", "a", "r", 0.9), ("b", "c", "r", 0.5)], "src string, dst string, relation string, confidence double")
     rows = graph.expand_paths(edges, spark.createDataFrame([("a",)], "node string"), depth=3).collect()
-    assert {(r.node, r.hops, r.confidence) for r in rows} == {("b", 1, 0.9), ("c", 2, 0.45)}
+    assert {(r.node, r.hops, r.confidence) for r in rows} == {("b", 1, 0.81), ("c", 2, 0.375)}
 
 
 def test_gate_null_is_no_reason(spark):
@@ -258,7 +259,7 @@ def test_customer_expansion_against_brute_force(spark):
     best, by_node = {}, {}
     for p, c in paths:
         key = (p[0][0], p[-1][2])
-        best[key] = max(best.get(key, (0, 0)), (round(c * 0.9 ** (len(p) - 1), 6), -len(p)))
+        best[key] = max(best.get(key, (0, 0)), (round(c * (0.9, 0.75, 0.375)[len(p) - 1], 6), -len(p)))
         by_node.setdefault(p[-1][2], []).append((len(p), -c, tuple(e[:3] for e in p)))
     wanted = set()
     for seed in regions:
@@ -267,3 +268,82 @@ def test_customer_expansion_against_brute_force(spark):
     assert {(x.seed, x.node, x.hops, x.confidence, x["rank"]) for x in catalog.queries()["impact_expand_customers"](spark, SF).collect()} == wanted
     got = {(x.node, x["rank"]): (x.hops, -x.confidence, tuple(map(tuple, x.path))) for x in catalog.queries()["impact_best_paths"](spark, SF).collect()}
     assert got == {(node, k + 1): p for node, found in by_node.items() for k, p in enumerate(sorted(found)[:3])}
+
+
+def test_path_confidences(spark):
+    """Seed confidence, clamped, times the weakest edge, times 1, .9, .75, .375, ... by depth, to 6 places."""
+    assert [graph.depth_decay(h) for h in range(5)] == [1.0, 0.9, 0.75, 0.375, 0.1875]
+    edges = spark.createDataFrame([(x, y, "r", c) for x, y, c in (("a", "b", 0.8), ("b", "c", 0.7), ("c", "d", 0.9))], "src string, dst string, relation string, confidence double")
+    seeds = spark.createDataFrame([("a", 0.5), ("b", 7.0), ("c", None)], "node string, confidence double")
+    rows = {(r.seed, r.node): r.confidence for r in graph.expand_paths(edges, seeds, depth=3).collect()}
+    assert rows == {("a", "b"): 0.36, ("a", "c"): 0.2625, ("a", "d"): 0.13125, ("b", "c"): 0.63, ("b", "d"): 0.525, ("c", "d"): 0.81}
+
+
+def test_health_percentile_interpolates(spark):
+    df = spark.createDataFrame([("k", float(i), i, i) for i in range(1, 21)], "key string, value double, ts int, event_id int")
+    r = evaluation.health(df, "key", "ts", "value", 20).first()
+    assert (r.n, r.mean, r.p95) == (20, 10.5, 19.05)
+
+
+def test_string_ties(spark):
+    df = spark.createDataFrame([(1, "x", "wikidata:Q2", 1.0), (1, "x", "wikidata:Q1", 1.0), (1, "x", "wikidata:Q0", 0.5)], "doc int, surface string, ref string, score double")
+    assert mentions.dedupe(df, ["doc", "surface"], "score", ["ref"]).first().ref == "wikidata:Q1"
+    assert {r.chosen for r in mentions.consistent_surfaces(df, "doc", "surface", "ref", "score").collect()} == {"wikidata:Q1"}
+
+
+def test_words_of_all_scripts(spark):
+    r = spark.createDataFrame([("Łódź Αθήνα 東京 e-mail don't Q1",)], "t string").select(T.words(F.col("t")).alias("w"), T.token_count(F.col("t")).alias("n")).first()
+    assert r.w == ["łódź", "αθήνα", "東京", "e", "mail", "don", "t", "q1"] and r.n == 7
+
+
+def test_tagging_paths_agree(spark, monkeypatch):
+    """First words compared as the text is read, or by a join, against all windows; offsets point into the raw text."""
+    r = random.Random(4)
+    words = ["a", "b", "c", "Dé"]
+    docs = spark.createDataFrame([(i, r.choice(("", "-- ")) + " ,".join(r.choices(words, k=r.randint(0, 30)))) for i in range(40)], "doc_id long, text string")
+    surfaces = {" ".join(r.choices([w.lower() for w in words], k=r.randint(1, 4))) for _ in range(25)} | {" ".join(["a"] * 9)}
+    aliases = spark.createDataFrame([(s, i) for i, s in enumerate(sorted(surfaces))], "surface string, ref int")
+    wanted = set()
+    for d in docs.collect():
+        w = re.findall(r"\w+", d.text.lower())
+        wanted |= {(d.doc_id, i, n, " ".join(w[i : i + n])) for n in range(1, 9) for i in range(len(w) - n + 1) if " ".join(w[i : i + n]) in surfaces}
+    text = {d.doc_id: d.text for d in docs.collect()}
+    for few in (5000, 0):
+        monkeypatch.setattr(dictionary, "FEW_STARTS", few)
+        found = dictionary.tag_exact(docs, aliases)
+        assert {(x.doc_id, x.start, x.n, x.surface) for x in found.collect()} == wanted
+        for x in dictionary.with_offsets(found, docs).collect():
+            assert re.findall(r"\w+", text[x.doc_id][x.raw_start : x.raw_end].lower()) == x.surface.split()
+        longest = {(x.doc_id, x.start, x.n) for x in dictionary.leftmost_longest(found).collect()}
+        spans = {(d, s, n) for d, s, n, _ in wanted}
+        assert longest == {(d, s, n) for d, s, n in spans if not any(e == d and t <= s and t + m >= s + n and m > n for e, t, m in spans)}
+    assert dictionary.tag_exact(docs, aliases.limit(0)).count() == 0
+
+
+def test_cosine_blocks_are_exact(spark):
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 7 = 0")
+    whole = sorted(map(tuple, vectors.top_cosine(df, q, 5).select("query_id", "rank", "vec_id", "cosine").collect()))
+    for row_block, query_block in ((10, 3), (1000, 2), (7, 1000)):
+        assert sorted(map(tuple, vectors.top_cosine(df, q, 5, row_block=row_block, query_block=query_block).select("query_id", "rank", "vec_id", "cosine").collect())) == whole
+    norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    of = dict(rows)
+    for i, _, j, c in whole:
+        assert abs(c - round(sum(a * b for a, b in zip(of[i], of[j])) / norm(of[i]) / norm(of[j]), 6)) < 2e-6
+    assert len(whole) == 5 * 9 and vectors.top_cosine(df, df.limit(0), 5).count() == 0
+
+
+def test_signed_buckets(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 1.0), (2, "a", -1.0)], "id long, feature string, weight double")
+    got = {}
+    for r in vectors.signed_feature_hash(df, "id", 16).collect():
+        got.setdefault(r.id, {})[r.bucket] = r.value
+    sums = {}
+    for f, w in (("a", 2.0), ("b", 1.0)):
+        d = hashlib.blake2b(f.encode(), digest_size=16).digest()
+        at = int.from_bytes(d[:8], "big") % 16
+        sums[at] = sums.get(at, 0.0) + (w if d[8] % 2 == 0 else -w)
+    size = sum(v * v for v in sums.values()) ** 0.5
+    assert got == {1: {k: round(v / size, 6) for k, v in sums.items()}, 2: {0: 0.0}}
