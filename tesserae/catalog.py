@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae import catalog_resolution  # registers its queries  # noqa: F401
+from tesserae import catalog_context, catalog_resolution  # register their queries  # noqa: F401
 from tesserae.functions import text as T
 from tesserae.operators import cooccurrence, dictionary, evaluation, events, graph, mentions, vectors
 from tesserae.plans import impact
