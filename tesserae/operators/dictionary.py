@@ -133,8 +133,12 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str], k1: float
     """
     terms = sorted(set(query))
     count = lambda q: (F.size("w") - F.size(F.array_remove("w", q)))
-    counted = docs.select(F.col(id_col), T.words(text).alias("w")).where(F.size("w") > 0)
-    counted = counted.select(id_col, F.size("w").alias("length"), *(count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
+
+    def counts(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col(id_col), T.words(text).alias("w")).where(F.size("w") > 0)
+        return rows.select(id_col, F.size("w").alias("length"), *(count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
+
+    counted = counts(docs)
     totals = counted.agg(
         F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))
     )
@@ -143,7 +147,9 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str], k1: float
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
         score = score + F.when(F.col(f"tf{i}") > 0, idf * tf).otherwise(0.0)
-    hit = counted.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
+    # a text without the term's letters has no such word and is not cut into words again
+    hit = counts(docs.where(F.greatest(*(F.contains(F.lower(text), F.lit(q)) for q in terms), F.lit(False))))
+    hit = hit.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
     return hit.crossJoin(F.broadcast(totals)).select(id_col, score.alias("score"))
 
 
