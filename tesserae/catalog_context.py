@@ -30,14 +30,14 @@ an AS (SELECT l, r, sum(0.3 * sp) AS x FROM dp JOIN up a ON a.qid = l JOIN up b
 ps AS (SELECT l, r, round(least(1.0, coalesce(d.x, 0) + least(coalesce(sh.x, 0), 0.75) + least(coalesce(an.x, 0), 0.4)), 6)::DOUBLE AS score FROM dp LEFT JOIN d USING (l, r) LEFT JOIN sh USING (l, r) LEFT JOIN an USING (l, r)),
 ev AS (SELECT doc, l AS qid, score FROM pr JOIN ps USING (l, r) UNION ALL SELECT doc, r, score FROM pr JOIN ps USING (l, r)),
 pe AS (SELECT doc, qid, sum(score) AS total, count(*) FILTER (score >= 0.12) AS supporting FROM ev GROUP BY doc, qid), cn AS (SELECT doc, count(*) AS seeds FROM seeds GROUP BY doc),
-m AS (SELECT doc, qid, seeds, local, baseline, coalesce(supporting, 0) AS supporting, round(coalesce(total / greatest(seeds - 1, 1), 0), 6) AS mean_peer_support, coalesce(pen, 0) AS pen, least(1, greatest(seeds - 1, 1)) AS needed
+m AS (SELECT doc, qid, seeds, local, baseline, coalesce(supporting, 0) AS supporting, round(coalesce(total / greatest(seeds - 1, 1), 0)::DOUBLE::DECIMAL(20,12), 6)::DOUBLE AS mean_peer_support, coalesce(pen, 0) AS pen, least(1, greatest(seeds - 1, 1)) AS needed
 FROM seeds JOIN cn USING (doc) LEFT JOIN pe USING (doc, qid) LEFT JOIN spec ON node = qid),
-c AS (SELECT *, round(greatest(0.0, 0.45 * local + 0.55 * mean_peer_support - pen), 6) AS cluster_fit FROM m),
+c AS (SELECT *, round(greatest(0.0, 0.45 * local + 0.55 * mean_peer_support - pen)::DOUBLE::DECIMAL(20,12), 6)::DOUBLE AS cluster_fit FROM m),
 t AS (SELECT *, CASE WHEN seeds >= 3 AND ((supporting = 0 AND mean_peer_support <= 0.03 AND local < 0.56 AND cluster_fit < 0.26) OR (supporting < needed AND mean_peer_support < 0.12 AND local < 0.52 AND cluster_fit < 0.28)) THEN 'suppress'
 WHEN seeds >= 3 AND mean_peer_support < 0.14 AND local < 0.56 AND cluster_fit < 0.38 THEN 'downgrade' WHEN seeds >= 3 AND supporting >= needed AND mean_peer_support >= 0.45 AND baseline < 0.82 THEN 'boost'
 WHEN seeds = 2 AND supporting = 0 AND local < 0.45 AND pen >= 0.08 AND cluster_fit < 0.38 THEN 'downgrade' WHEN seeds = 2 AND supporting > 0 AND mean_peer_support >= 0.55 AND baseline < 0.82 THEN 'boost' ELSE 'keep' END AS action FROM c),
 decisions AS (SELECT doc, qid, seeds, mean_peer_support::DOUBLE AS mean_peer_support, supporting, cluster_fit::DOUBLE AS cluster_fit, action, round(CASE WHEN action = 'downgrade' THEN CASE WHEN seeds >= 3 THEN -0.06 ELSE -0.05 END
-WHEN action = 'boost' THEN CASE WHEN seeds >= 3 THEN least(0.08, mean_peer_support * 0.18) ELSE least(0.07, mean_peer_support * 0.16) END ELSE 0 END, 6)::DOUBLE AS score_delta FROM t),
+WHEN action = 'boost' THEN CASE WHEN seeds >= 3 THEN least(0.08, mean_peer_support * 0.18) ELSE least(0.07, mean_peer_support * 0.16) END ELSE 0 END::DOUBLE::DECIMAL(20,12), 6)::DOUBLE AS score_delta FROM t),
 strong AS (SELECT doc, qid FROM decisions WHERE action = 'boost' OR (action = 'keep' AND (cluster_fit >= 0.35 OR mean_peer_support >= 0.1 OR (supporting > 0 AND cluster_fit >= 0.3))))"""
 
 

@@ -19,6 +19,11 @@ def local_score(baseline: Column, mentions: Column, start_ratio: Column, actor:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), baseline + F.least(F.lit(0.12), F.greatest(F.lit(0), mentions - 1) * 0.04) + place))
 
 
+def six_places(value: Column) -> Column:
+    """Six places, half up. What lies beyond twelve places is noise of the sum's order and decides no tie; for |value| < 1e8."""
+    return F.round(value.try_cast("decimal(20,12)"), 6).cast("double")
+
+
 def bounded_seeds(seeds: DataFrame, most: int = 24) -> DataFrame:
     """The ``most`` best seeds (doc, qid, local, baseline) of each document, by local score and then id."""
     once = seeds.groupBy("doc", "qid").agg(F.max("local").alias("local"), F.max("baseline").alias("baseline"))
@@ -74,9 +79,9 @@ def seed_decisions(seeds: DataFrame, supports: DataFrame, degrees: DataFrame, mi
     n = seeds.groupBy("doc").agg(F.count(F.lit(1)).alias("seeds"))
     rows = seeds.join(n, "doc").join(peers, ["doc", "qid"], "left").join(degrees.select(F.col("node").alias("qid"), "degree_total"), "qid", "left")
     rows = rows.withColumn("supporting", F.coalesce("supporting", F.lit(0)))
-    rows = rows.withColumn("mean_peer_support", F.round(F.coalesce(F.col("sum") / F.greatest(F.col("seeds") - 1, F.lit(1)), F.lit(0.0)), 6))
+    rows = rows.withColumn("mean_peer_support", six_places(F.coalesce(F.col("sum") / F.greatest(F.col("seeds") - 1, F.lit(1)), F.lit(0.0))))
     rows = rows.withColumn("penalty", degree_penalty(F.coalesce("degree_total", F.lit(0))))
-    rows = rows.withColumn("cluster_fit", F.round(F.greatest(F.lit(0.0), 0.45 * F.col("local") + 0.55 * F.col("mean_peer_support") - F.col("penalty")), 6))
+    rows = rows.withColumn("cluster_fit", six_places(F.greatest(F.lit(0.0), 0.45 * F.col("local") + 0.55 * F.col("mean_peer_support") - F.col("penalty"))))
     s, mean, local, fit, base = (F.col(c) for c in ("supporting", "mean_peer_support", "local", "cluster_fit", "baseline"))
     needed = F.least(F.lit(max(min_seeds - 1, 1)), F.greatest(F.col("seeds") - 1, F.lit(1)))
     many, two = F.col("seeds") >= 3, F.col("seeds") == 2
@@ -94,7 +99,7 @@ def seed_decisions(seeds: DataFrame, supports: DataFrame, degrees: DataFrame, mi
         .when(many & (F.col("action") == "boost"), F.least(F.lit(0.08 if light else 0.11), mean * 0.18)).when(F.col("action") == "boost", F.least(F.lit(0.07), mean * 0.16))
         .otherwise(0.0)
     )
-    return rows.select("doc", "qid", "seeds", "mean_peer_support", "supporting", "cluster_fit", "action", F.round(delta, 6).alias("score_delta"))
+    return rows.select("doc", "qid", "seeds", "mean_peer_support", "supporting", "cluster_fit", "action", six_places(delta).alias("score_delta"))
 
 
 def strong_seeds(decisions: DataFrame) -> DataFrame:

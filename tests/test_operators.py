@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tesserae import catalog
 from tesserae.functions import articles, normalise
 from tesserae.functions import text as T
-from tesserae.operators import dictionary, evaluation, events, graph, heuristics, mentions, resolution, vectors
+from tesserae.operators import context, dictionary, evaluation, events, graph, heuristics, mentions, resolution, vectors
 from tesserae.sources import files
 from tesserae.streaming import windows
 
@@ -347,3 +347,10 @@ def test_signed_buckets(spark):
         sums[at] = sums.get(at, 0.0) + (w if d[8] % 2 == 0 else -w)
     size = sum(v * v for v in sums.values()) ** 0.5
     assert got == {1: {k: round(v / size, 6) for k, v in sums.items()}, 2: {0: 0.0}}
+
+
+def test_six_places_ties_go_up_whatever_the_noise(spark):
+    # the first three are one tie, a few ulps apart
+    rows = [(0.5122125,), (0.51221249999999993,), (0.51221250000000011,), (0.51221249,), (-0.0000005,), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(context.six_places(F.col("x"))).collect()]
+    assert got == [0.512213, 0.512213, 0.512213, 0.512212, -0.000001, None]
