@@ -197,13 +197,14 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> dict | None:
 
 
 def score_texts(column: pa.Array, model: dict | None) -> np.ndarray:
+    """Scores to twelve places: what lies beyond depends on the shape of the batch that a text came in, and a retry may cut others."""
     if model is None:
         return np.full(len(column), 0.5)
     if not len(column):
         return np.zeros(0)
     x, owner, word, counts = passages_in_steps(column, model["bits"], SLICE_BYTES)
     x = np.concatenate([(x - model["mean"]) / model["scale"], mean_vectors(word, counts, model["E"])], 1)
-    return attend(x, owner, len(column), model)[-1]
+    return attend(x, owner, len(column), model)[-1].round(12)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, buckets: int = 4, held: int = 2) -> dict | None:
