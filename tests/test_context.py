@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae import catalog
 from tesserae.operators import context, linked, resolution
 
-QUERIES = ("context_pair_supports", "context_seed_decisions", "context_related_entities")
+QUERIES = ("context_pair_supports", "context_seed_decisions", "context_related_entities", "context_refined_scores")
 LINES = 12_000
 
 
