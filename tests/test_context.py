@@ -116,7 +116,7 @@ def test_related_entities_of_odd_seeds(tables, odd):
     docs, weight, above, spec, _ = brute(odd)
     degrees = odd[3]
     pen = lambda n: next((v for m, v in ((16, 0.0), (48, 0.04), (128, 0.08), (256, 0.12)) if degrees.get(n, 0) <= m), 0.18)
-    strong = context.seed_decisions(*tables[:2])
+    strong = context.seed_decisions(*tables[:2]).withColumn("strong", F.lit(True))
     got = {(r.doc, r.qid): (r.seeds, r.score, r["rank"]) for r in context.related_entities(strong, tables[2]).collect()}
     wanted = {}
     for d, x in docs.items():
