@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import linked
+from tesserae.operators.linked import packed, unpacked
 from tesserae.operators.resolution import degree_penalty
 from tesserae.storage import stored
 
@@ -27,21 +28,6 @@ SEED = "doc long, qid string, local double, baseline double, penalty double"
 PACKED = "others binary, shared binary, other binary"
 
 
-def packed(flat: np.ndarray, n: np.ndarray) -> pa.Array:
-    """A binary value for each of ``n``: that many of ``flat``, one after the other."""
-    ends = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
-def unpacked(x: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, how many of each value)."""
-    x = pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.binary())
-    size = np.dtype(kind).itemsize
-    ends = np.frombuffer(x.buffers()[1], "int32", len(x) + 1, x.offset * 4) if len(x) else np.zeros(1, "int32")
-    raw = x.buffers()[2]
-    return (np.frombuffer(raw, "u1")[ends[0] : ends[-1]].view(kind) if raw else np.empty(0, kind)), np.diff(ends) // size
-
-
 def summed(key: np.ndarray, shared: np.ndarray, direct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry a key, in order: shared summed, the largest direct."""
     if not len(key):
@@ -225,7 +211,8 @@ def supports(seeds: DataFrame, entities: DataFrame, neighbours: DataFrame, ances
         carried = carried.unionByName(some.withColumn("kind", F.lit(0)))
     carried = carried.join(nodes, "node").select("own", F.struct("id", (step + F.col("kind")).cast("tinyint").alias("step"), "weight").alias("link"))
     lists = carried.groupBy(F.col("own").alias("id")).agg(F.sort_array(F.collect_list("link")).alias("x"))
-    own = stored(own.join(lists, "id", "left").select("qid", "id", "penalty", F.col("x.id").alias("nodes"), F.col("x.step").alias("steps"), F.col("x.weight").alias("weights")), "carried")
+    own = own.join(lists, "id", "left").select("qid", "id", "penalty", F.col("x.id").alias("nodes"), F.col("x.step").alias("steps"), F.col("x.weight").alias("weights"))
+    own = stored(own.mapInArrow(linked.as_bytes, "qid string, id int, penalty double, nodes binary, steps binary, weights binary"), "carried")
     # pairs through nodes: rows in the order of nodes, so that what belongs together is summed in one task
     entity = own.select("id", F.lit(True).alias("entity"))
     heads = nodes.join(entity, "id", "left").select(
@@ -240,3 +227,15 @@ def supports(seeds: DataFrame, entities: DataFrame, neighbours: DataFrame, ances
     every = sums.withColumn("kind", F.lit(0)).unionByName(given.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     every = every.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(met, f"{SEED}, scores binary")
     return every.repartition("doc").sortWithinPartitions("doc", "qid").mapInArrow(totals, f"{SEED}, seeds long, sum double, supporting long")
+
+
+def decisions(supported: DataFrame, min_seeds: int, light: bool) -> DataFrame:
+    """``linked.DECIDED`` of ``supports``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            cols = [t["doc"], t["qid"], *linked.decided(t, *(t[c].to_numpy() for c in ("seeds", "sum", "supporting")), min_seeds, light)]
+            yield from pa.table(cols, ["doc", "qid", *(x.split()[0] for x in linked.DECIDED.split(", "))]).combine_chunks().to_batches()
+
+    return supported.mapInArrow(run, f"doc long, qid string, {linked.DECIDED}")

@@ -4,10 +4,12 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae import catalog
-from tesserae.operators import context, peers
+from tesserae.operators import context, linked, peers
 
 
 def test_decisions_take_every_part_and_every_seed(spark, tmp_path):
@@ -67,3 +69,22 @@ def test_supports_of_odd_seeds(spark, monkeypatch, dealt):
         assert (x.seeds, x.supporting) == (len(docs[d]), sum(s >= 0.12 for s in own))
         assert abs(x.sum - sum(own)) < 1.1e-6 * len(own) + 1e-9
     assert len(context.whole_decisions(*(spark.createDataFrame(*t) for t in tables)).where("action IS NULL").collect()) == 0
+
+
+def test_refined_scores_make_a_decision_once(spark):
+    """No condition of the decision stands in the plan, where the filter would make its sums again."""
+    plan = catalog.queries()["context_refined_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "decimal(20,12)" not in plan
+
+
+def test_links_travel_as_bytes(spark):
+    near, up = spark.createDataFrame([("a", "b", 0.5)], "qid string, neighbour string, weight double"), spark.createDataFrame([("a", "c")], "qid string, ancestor string")
+    found = linked.links(near, up, spark.createDataFrame([("b", 5)], "node string, degree_total long"))[0]
+    assert {found.schema[c].dataType.simpleString() for c in ("nodes", "steps", "weights")} == {"binary"}
+    rows = {r.qid: (np.frombuffer(r.nodes, "int32").tolist(), np.frombuffer(r.steps, "int8").tolist(), np.frombuffer(r.weights).tolist()) for r in found.collect() if r.nodes}
+    assert rows == {"a": ([1, 2], [1, linked.UP], [0.5, 0.3])}
+
+
+def test_six_places_as_spark_rounds(spark):
+    x = [0.1234565, 0.12345649999999, 0.1234564999999999, -0.06, 0.0, 0.25 / 3, 1 / 3, 0.0000005, 0.9999995]
+    assert linked.six_places(np.array(x)).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(context.six_places(F.col("x"))).collect()]
